@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, simhash
 
-MODULES = (decontaminate,)
+MODULES = (decontaminate, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
