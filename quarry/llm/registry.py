@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, simhash
+from quarry.llm import decontaminate, simhash, toxicity
 
-MODULES = (decontaminate, simhash)
+MODULES = (toxicity, simhash, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
