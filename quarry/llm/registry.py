@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, simhash, toxicity
+from quarry.llm import decontaminate, simhash, tokenbin, toxicity
 
-MODULES = (toxicity, simhash, decontaminate)
+MODULES = (toxicity, tokenbin, simhash, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
