@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, simhash, tokenbin, toxicity
+from quarry.llm import decontaminate, mixing, simhash, tokenbin, toxicity, urlfilter
 
-MODULES = (toxicity, tokenbin, simhash, decontaminate)
+MODULES = (urlfilter, toxicity, tokenbin, simhash, mixing, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
