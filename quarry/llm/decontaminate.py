@@ -90,8 +90,9 @@ def _windows(df: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: float = 0.05) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash.
 
+    ``text_hash`` is xxhash64 of the text: with doc_id it names the row where ids repeat.
     ``share``: a document is contaminated when at least this share of its words is hit.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
@@ -147,6 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"),
         ids.alias("items"),
+        F.col("th").alias("text_hash"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
 
@@ -154,7 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     exact = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.withColumn("contaminated", exact).drop("items")
+    return found.withColumn("contaminated", exact).drop("items", "text_hash")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

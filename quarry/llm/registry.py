@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quarry.llm import decontaminate, mixing, simhash, tokenbin, toxicity, urlfilter
 
 MODULES = (urlfilter, toxicity, tokenbin, simhash, mixing, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.NAME: m.query for m in MODULES}
+    return {m.NAME: m.query for m in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.SQL for m in MODULES if m.SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {m.NAME: m.SQL for m in MODULES if m.SQL} | pipeline

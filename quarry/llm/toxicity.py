@@ -229,9 +229,39 @@ def _decode(patterns: list[str]) -> np.ndarray:
     return np.array([["-0+".index(c) for c in p] for p in patterns], int).reshape(len(patterns), -1)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document. ``max_labelled``: rows of the labelled
-    sample that lexicons and the classifier are fitted on (about; chosen by a hash of doc_id)."""
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Lexicon and weights; without any usable label there are none, and nothing is toxic."""
+
+    lexicon: Lexicon
+    weights: np.ndarray | None
+
+    def score(self, at: list[int], value: list[float]) -> float:
+        if self.weights is None:
+            return 0.0
+        z = float(np.dot(self.weights[np.asarray(at, int)], value))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def score_text(self, text: str | None) -> float:
+        f = examine(text, self.lexicon)[1]
+        return self.score(sorted(f), [f[i] for i in sorted(f)])
+
+    def column(self, text: str = "text") -> Column:
+        """Score of each text, from the text alone."""
+
+        @F.pandas_udf("double")
+        def score(texts: pd.Series) -> pd.Series:
+            return pd.Series([self.score_text(t) for t in texts], dtype=float)
+
+        return score(F.col(text))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and every document's doc_id, pattern of votes and features (at, value).
+
+    ``max_labelled``: rows of the labelled sample that lexicons and the classifier are fitted on
+    (about; chosen by a hash of doc_id). Vote statistics are over all documents.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     known = cut(known.filter(~held_out(F.col("doc_id"))))
     share = min(1.0, max_labelled / max(1, known.count()))
@@ -247,7 +277,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_00
     counts = marked.groupBy(F.concat("vote", "pattern").alias("p")).count().collect()
     train = marked.filter("picked").select(F.concat("vote", "pattern").alias("p"), "at", "value").collect()
     if not lex.words and not lex.stems or not train:
-        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return ToxicityModel(lex, None), seen
     votes, weight = _decode([r["p"] for r in counts]), np.array([r["count"] for r in counts], float)
     label, votes = votes[:, 0], votes[:, 1:]
     lexical = (votes[:, : 2 * _LEXICONS + 3] == 2).sum(1)
@@ -257,12 +287,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_00
     for i, r in enumerate(train):
         x[i, r["at"]] = r["value"]
     known_votes = _decode([r["p"] for r in train])
-    weights = fit_linear(x, model.posterior(known_votes[:, 1:], known_votes[:, 0]))
+    return ToxicityModel(lex, fit_linear(x, model.posterior(known_votes[:, 1:], known_votes[:, 0]))), seen
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DataFrame:
+    """doc_id, held_out, score, predicted for each document."""
+    model, seen = fit_toxicity(docs, labels, max_labelled)
 
     @F.pandas_udf("double")
     def score(at: pd.Series, value: pd.Series) -> pd.Series:
-        z = np.array([float(np.dot(weights[np.asarray(i, int)], v)) for i, v in zip(at, value, strict=True)])
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return pd.Series([model.score(i, v) for i, v in zip(at, value, strict=True)], dtype=float)
 
     scored = seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("at", "value").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
