@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import decontaminate, mixing, neighbours, simhash, tokenbin, toxicity, urlfilter
+from quarry.llm import decontaminate, mixing, neighbours, simhash, tokenbin, tokencount, toxicity, urlfilter
 
-MODULES = (urlfilter, neighbours, toxicity, tokenbin, simhash, mixing, decontaminate)
+MODULES = (urlfilter, neighbours, toxicity, tokencount, tokenbin, simhash, mixing, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
