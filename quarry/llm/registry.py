@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import decontaminate, mixing, neighbours, resample, simhash, tokenbin, tokencount, toxicity, urlfilter
+from quarry.llm import decontaminate, mixing, neighbours, resample, simhash, substrings, tokenbin, tokencount, toxicity, urlfilter
 
-MODULES = (resample, urlfilter, neighbours, toxicity, tokencount, tokenbin, simhash, mixing, decontaminate)
+MODULES = (resample, urlfilter, neighbours, toxicity, tokencount, tokenbin, simhash, mixing, substrings, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
