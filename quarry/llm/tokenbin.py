@@ -22,10 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -44,7 +47,13 @@ SQL = None
 MAGIC = b"QIDS0001"
 _ENTRY = np.dtype([("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4"), ("doc_id", "<i8"), ("set", "u1")])
 _TAIL = struct.Struct("<QQ8s")
-_CACHE_WORDS = 600_000
+_CACHE_WORDS = 1_200_000
+_TEXTS = 128  # cut up at once
+# Texts of Latin letters without apostrophes can be cut further, into runs of letters and of other
+# signs, and lower-cased here: each run is then a piece, or some pieces, of its own.
+_LETTERS = "a-zªµºß-öø-ɏ"
+_RUNS = re.compile(f"[{_LETTERS}]+|[^ \t\n\r\x0b\x0c\x85\xa0{_LETTERS}]+")
+_ODD = re.compile("['İɐ-\U0010ffff]|<\\|")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -55,7 +64,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {"": b""}
+        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     @classmethod
@@ -66,24 +75,27 @@ class Encoder:
         return _encoders[path, by_word]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
             for t in texts:
                 yield self._encode([t])[0]
             return
-        known = self.known
-        for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").split(" ")
-            if new := [w for w in set(words) if w not in known]:
-                if len(known) > _CACHE_WORDS:
-                    known.clear()
-                    new = list(set(words))
-                for at in range(0, len(new), 10_000):
-                    part = new[at : at + 10_000]
-                    known.update(zip(part, self._encode(part), strict=True))
-            yield b"".join(map(known.__getitem__, words))
+        for at in range(0, len(texts), _TEXTS):
+            cut_up = [t.replace("\n", " ").replace("\t", " ").split(" ") if _ODD.search(t) else _RUNS.findall(t.lower()) for t in texts[at : at + _TEXTS]]
+            self._learn(set().union(*cut_up))
+            for words in cut_up:
+                yield b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: set[str]) -> None:
+        new = list(filterfalse(self.known.__contains__, words))
+        if len(self.known) + len(new) > _CACHE_WORDS:
+            self.known.clear()
+            new = list(words)
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            self.known.update(zip(part, self._encode(part), strict=True))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
