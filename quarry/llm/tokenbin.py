@@ -28,7 +28,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -53,6 +52,8 @@ _TEXTS = 128  # cut up at once
 # signs, and lower-cased here: each run is then a piece, or some pieces, of its own.
 _LETTERS = "a-zªµºß-öø-ɏ"
 _RUNS = re.compile(f"[{_LETTERS}]+|[^ \t\n\r\x0b\x0c\x85\xa0{_LETTERS}]+")
+_RUN = re.compile(f"[{_LETTERS}]+")
+_WORD_END = "</w>"  # fixed value: the mark of a piece's last id in the vocabulary
 _ODD = re.compile("['İɐ-\U0010ffff]|<\\|")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -65,6 +66,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for w, i in vocabulary.items() if w.endswith(_WORD_END)]] = True
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     @classmethod
@@ -77,6 +81,20 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        """Runs of letters, one piece each: many at once, told apart by the ids that end a word."""
+        out: list[bytes] = []
+        for at in range(0, len(runs), 1_000):
+            part = runs[at : at + 1_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.final[ids]) + 1
+            if len(stops) != len(part):
+                out += self._encode(part)
+                continue
+            raw, stops = ids.tobytes(), (4 * stops).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
             for t in texts:
@@ -84,18 +102,25 @@ class Encoder:
             return
         for at in range(0, len(texts), _TEXTS):
             cut_up = [t.replace("\n", " ").replace("\t", " ").split(" ") if _ODD.search(t) else _RUNS.findall(t.lower()) for t in texts[at : at + _TEXTS]]
-            self._learn(set().union(*cut_up))
-            for words in cut_up:
-                yield b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(filterfalse(self.known.__contains__, words))
-        if len(self.known) + len(new) > _CACHE_WORDS:
+            looked_up = [list(map(self.known.get, words)) for words in cut_up]
+            missing = {w for words, got in zip(cut_up, looked_up, strict=True) if None in got for w, ids in zip(words, got, strict=True) if ids is None}
+            fresh = self._learn(missing) if missing else {}
+            for words, got in zip(cut_up, looked_up, strict=True):
+                if None in got:
+                    got = [fresh[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+                yield b"".join(got)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encodings of new words, which are also kept; all are forgotten when they are too many."""
+        runs, rest = [], []
+        for w in words:
+            (runs if w[:1].isalpha() and _RUN.fullmatch(w) else rest).append(w)
+        fresh = dict(zip(runs, self._encode_runs(runs), strict=True))
+        fresh.update(zip(rest, self._encode(rest), strict=True))
+        if len(self.known) + len(fresh) > _CACHE_WORDS:
             self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
+        self.known.update(fresh)
+        return fresh
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
