@@ -31,8 +31,8 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 def walk(spark: SparkSession, root: str, corpus: str, ignore: list[str] | None = None) -> DataFrame:
     """Manifest of a folder: corpus, path, mtime_ns, size_bytes, skipped, source.
 
-    Names that begin with a dot are left out; files with another ending are no documents; empty and
-    oversized ones are listed as skipped, with no source. Only filters touch the listing, so the
+    Names that begin with a dot are left out; files with another ending are no documents; oversized
+    ones are listed as skipped, with no source; empty files, which hold no document, are not listed. Only filters touch the listing, so the
     contents of other files are never read.
     """
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
