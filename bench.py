@@ -2,13 +2,18 @@
 
 import json
 import os
+import shutil
 import sys
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from pyspark.sql import functions as F
+
+from quarry.functions.text import tokens
 from quarry.operators.index import Index
+from quarry.operators.rank import bm25_batch
 from quarry.plans.registry import all_queries
 from quarry.session import local_session
 from quarry.sources import testtables as TT
@@ -37,6 +42,10 @@ def main() -> None:
     docs = TT.artifacts(spark, sf_dir).select("doc_id", "corpus", "path", "title", "kind", "text")
     folder = f"/tmp/quarry-bench-{os.getpid()}"
     took["ingest_index"] = timed(lambda: Index.build(docs).save(folder))
+    index = Index.open(spark, folder)
+    terms = TT.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    took["batch_bm25_on_index"] = timed(lambda: sink(bm25_batch(index.postings, index.documents, terms, limit=10)))
+    shutil.rmtree(folder)
     n = docs.count()
     asked = TT.table(spark, sf_dir, "benchmark").count()
     print(
@@ -49,7 +58,7 @@ def main() -> None:
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "documents": n,
                 "ingest_docs_per_sec": round(n / took["ingest_index"], 1),
-                "batch_queries_per_sec": round(asked / took["batch_bm25"], 1),
+                "batch_queries_per_sec": round(asked / took["batch_bm25_on_index"], 1),
             }
         )
     )

@@ -46,13 +46,19 @@ def fold_text(text: str) -> str:
 
 
 def fold(text: Column, gone: str = "") -> Column:
-    """``fold_text`` on a column; ``gone`` stands for letters that fold to nothing."""
-    out = F.translate(text, FOLD_FROM, FOLD_TO)
+    """``fold_text`` on a column; ``gone`` stands for letters that fold to nothing.
+
+    ASCII texts (as many bytes as characters) only need ``lower``; the digraphs' replacements, a pass
+    each, are made only where one occurs.
+    """
+    plain = F.translate(text, FOLD_FROM, FOLD_TO)
+    full = plain
     for c, f in TWO.items():
-        out = F.replace(out, F.lit(c), F.lit(f))
+        full = F.replace(full, F.lit(c), F.lit(f))
     for c in "×÷":
-        out = F.replace(out, F.lit(c), F.lit(gone))
-    return out
+        full = F.replace(full, F.lit(c), F.lit(gone))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).when(text.rlike(f"[{''.join(TWO)}×÷]"), full).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:

@@ -18,7 +18,7 @@ from quarry.operators import store as S
 from quarry.plans.grammar import parse_query
 from quarry.plans.registry import query
 from quarry.plans.search import SearchRequest, search
-from quarry.session import table
+from quarry.session import spread, table
 from quarry.sources import testtables as TT
 from quarry.sources.testtables import ARTIFACTS, EDGES, LINKS, METAS, PENDING, fold_sql, tokens_sql
 from quarry.streaming import events as E
@@ -436,7 +436,7 @@ def title_from_path(spark, sf_dir):
 
 def _pages(spark, sf_dir) -> DataFrame:
     rest = F.regexp_extract("url", "://(.*)$", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(rest, "^([^/]*)", 1).alias("corpus"), F.regexp_replace(F.regexp_extract(rest, "^[^/]*/([^?#]*)", 1), "/$", "").alias("path"), F.col("html").alias("source"))
+    return spread(table(spark, sf_dir, "pages")).select("page_id", F.regexp_extract(rest, "^([^/]*)", 1).alias("corpus"), F.regexp_replace(F.regexp_extract(rest, "^[^/]*/([^?#]*)", 1), "/$", "").alias("path"), F.col("html").alias("source"))
 
 
 @query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")

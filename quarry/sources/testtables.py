@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import FOLD_FROM, FOLD_TO, STOPWORDS, TWO
-from quarry.session import table
+from quarry.session import spread, table
 
 HOUR_NS = 3_600_000_000_000
 EPOCH_NS = 1_704_067_200_000_000_000
@@ -17,6 +17,7 @@ EPOCH_NS = 1_704_067_200_000_000_000
 
 def artifacts(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     d = table(spark, sf_dir, "documents")
+    d = spread(d) if text else d
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     rows = d.select(
         "doc_id",
