@@ -13,7 +13,7 @@ from quarry.operators.facets import facet_table
 from quarry.operators.index import Index
 from quarry.plans.search import SearchPlan, SearchRequest, search
 from quarry.sources.config import Config
-from quarry.sources.corpus import reindex
+from quarry.sources.corpus import reindex, rescan
 
 TABLES = ("artifacts", "chunks", "metas", "edges", "pending_links", "postings", "documents", "terms")
 
@@ -34,6 +34,12 @@ class Engine:
         self.tables = reindex(self.spark, folders, self.config.store, patterns, corpora)
         return self
 
+    def rescan(self) -> Engine:
+        """Take over what has not changed since the latest generation."""
+        patterns = sorted({p for c in self.config.corpora for p in c.ignore})
+        self.tables = rescan(self.spark, {c.name: c.path for c in self.config.corpora}, self.config.store, patterns)
+        return self
+
     def search(self, q: str, vectors: DataFrame | None = None, **options) -> SearchPlan:
         t, d = self.tables, self.config.search
         base = SearchRequest(q, limit=d.limit, candidates=d.candidates, rrf_k=d.rrf_k, k1=d.k1, b=d.b, graph_weight=d.graph_weight)

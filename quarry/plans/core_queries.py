@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.codecs import utf8_length
 from quarry.functions.hashing import artifact_id, content_hash
 from quarry.functions.links import normalize
 from quarry.operators import facets as FA
@@ -434,6 +435,18 @@ def title_from_path(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.title_from_path(path).alias("title"))
 
 
+@query("utf8_lengths_codecs", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(strlen(text) AS INTEGER) AS n_bytes, md5(to_base64(encode(text))) AS base64_md5, md5(hex(encode(text))) AS hex_md5 FROM documents")
+def utf8_lengths_codecs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    plain = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
+    return d.select("doc_id", utf8_length(F.col("text")).alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.md5(plain).alias("base64_md5"), F.md5(F.hex(F.encode("text", "UTF-8"))).alias("hex_md5"))
+
+
+@query("json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
 def _pages(spark, sf_dir) -> DataFrame:
     rest = F.regexp_extract("url", "://(.*)$", 1)
     return spread(table(spark, sf_dir, "pages")).select("page_id", F.regexp_extract(rest, "^([^/]*)", 1).alias("corpus"), F.regexp_replace(F.regexp_extract(rest, "^[^/]*/([^?#]*)", 1), "/$", "").alias("path"), F.col("html").alias("source"))

@@ -84,6 +84,23 @@ def _next_generation(spark: SparkSession, store: str) -> int:
         return 1
 
 
+def rescan(spark: SparkSession, folders: dict[str, str], store: str, ignore: list[str] | None = None) -> dict[str, DataFrame]:
+    """Incremental reindex: parse what is new or differs in time or size, drop what has gone, publish."""
+    names = ("artifacts", "chunks", "metas", "edges", "pending_links", "postings", "documents", "terms")
+    state = S.open_latest(spark, store, *names)
+    manifest = None
+    for corpus, root in folders.items():
+        rows = walk(spark, root, corpus, ignore)
+        manifest = rows if manifest is None else manifest.unionByName(rows)
+    here = manifest.filter("not skipped")
+    listed = here.drop("source")  # the comparison needs no file contents
+    changed = S.change_detect(listed, state["artifacts"]).filter("changed").select(*S.KEY)
+    fresh = here.join(changed, S.KEY, "left_semi")
+    gone = S.orphans(state["artifacts"], listed).select(*S.KEY)
+    S.publish(apply_changes(state, fresh, gone), store, _next_generation(spark, store))
+    return S.open_latest(spark, store, *names)
+
+
 def apply_changes(state: dict[str, DataFrame], changed: DataFrame, removed: DataFrame) -> dict[str, DataFrame]:
     """Incremental update: ``changed`` manifest rows replace theirs, ``removed`` (corpus, path) go.
 
