@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import cut, table
+from quarry.session import cut, small_batches, table
 
 NAME = "op4_toxicity"
 SQL = None
@@ -262,6 +262,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000)
     ``max_labelled``: rows of the labelled sample that lexicons and the classifier are fitted on
     (about; chosen by a hash of doc_id). Vote statistics are over all documents.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     known = cut(known.filter(~held_out(F.col("doc_id"))))
     share = min(1.0, max_labelled / max(1, known.count()))
