@@ -135,7 +135,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     plan = Schedule.plan(sizes, goal, block, cycle)
     edge, missing = plan.short()
 
-    groups = max(1, -(-max(sizes.values(), default=1) // GROUP_ROWS))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(tasks, -(-max(sizes.values(), default=1) // GROUP_ROWS))
     rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(groups)))
     counts = cut(rows.groupBy("_source", "_group").count())
     before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
