@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir, table
+from quarry.session import shared_dir, small_batches, table
 
 NAME = "op9_repeated_substrings"
 SQL = None
@@ -363,9 +363,12 @@ def _stash(df: DataFrame, name: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     """Rows d, t (doc_id and hash of the text), start, stop of bytes that repeated strings cover."""
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = _key(docs)
     found = _stash(keyed.mapInPandas(_find_anchors(length, grain), "h long, d long, t long, at int"), "anchors")
-    counts = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # written first: Spark then splits a frequent anchor's rows in the join, which it does not do above
+    # an aggregate
+    counts = _stash(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     places = found.join(counts, "h").groupBy("d", "t").agg(
         F.collect_set(F.when(F.col("n") <= HOT, F.struct("at", "h"))).alias("cool"), F.collect_set(F.when(F.col("n") > HOT, F.col("at"))).alias("hot")
     )
