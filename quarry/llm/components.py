@@ -26,11 +26,12 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if before[0] == 0:
             break
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # cut before each join: Spark then splits the rows of a node with very many edges
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # an edge's own larger end keeps its smallest neighbour
         large = cut(large.union(edges.select("hi", "lo").groupBy("hi").agg(F.min("lo").alias("lo"))).distinct())
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         moved = large.join(small.withColumnRenamed("hi", "k"), F.col("hi") == F.col("k")).filter("lo <> m").select("lo", "m")
         edges = cut(small.union(moved).toDF("hi", "lo").distinct())
         now = _mark(edges)
