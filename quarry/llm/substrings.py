@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN) ->
     if hot:
         strings = texts.filter(F.size("hot") > 0).select("d", "t", "text", F.col("hot").alias("places"))
         prints = _stash(strings.mapInPandas(_prints(length, grain), "a long, b long, d long, t long, start long"), "prints")
-        twice = prints.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+        twice = _stash(prints.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "twice")
         spans = spans.union(prints.join(twice, ["a", "b"], "left_semi").select("d", "t", "start", (F.col("start") + length).alias("stop")))
     return spans
 
