@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.vocab import vocabulary_path
-from quarry.session import cut, shared_dir, table
+from quarry.session import cut, shared_dir, small_batches, table
 
 NAME = "op6_token_files"
 SQL = None
@@ -153,7 +153,11 @@ class ShardWriter:
     def close(self) -> None:
         self.out.write(np.array(self.index, _ENTRY).tobytes() + _TAIL.pack(self.place, len(self.index), MAGIC))
         self.out.close()
-        self.fs.move(self.temporary, self.at)
+        try:
+            self.fs.move(self.temporary, self.at)
+        except OSError:  # some stores do not rename over the file of an earlier attempt, which has the same bytes
+            self.fs.delete_file(self.at)
+            self.fs.move(self.temporary, self.at)
 
 
 class ShardReader:
@@ -200,6 +204,7 @@ def write_token_files(
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    small_batches(spark)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs.select("doc_id", "text"), tokenizer, by_word, width, samples, dictionary_bytes)
     end = np.array([end_id], "<u4").tobytes()
