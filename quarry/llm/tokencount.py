@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.vocab import vocabulary_path
-from quarry.session import table
+from quarry.session import small_batches, table
 
 NAME = "op5_token_counts"
 SQL = None
@@ -128,6 +128,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", to: str = "n_to
         for texts in batches:
             yield pd.Series(np.fromiter(counter(["" if t is None else t for t in texts]), np.int64, len(texts)))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(to, count(text))
 
 
