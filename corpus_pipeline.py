@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.mixing import mix_sources
-from quarry.llm.simhash import simhash_groups
+from quarry.llm.nearcopies import near_copy_groups
 from quarry.llm.tokenbin import token_files
 from quarry.llm.toxicity import fit_toxicity
 from quarry.session import shared_dir, table
 
-#: SimHash, an EM fit and a tokenizer have no SQL form; tests hold the rows against brute force.
+#: Near copies, an EM fit and a tokenizer have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
@@ -32,17 +32,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that of the smallest doc_id.
+    """One document of each group of near copies (five-word shingles, similarity of 0.8) stays.
 
-    Rows that share their doc_id, which are one document, stay once. Rows without doc_id cannot be
-    told apart: one of them stays if a group has no other.
+    That is the one of the smallest doc_id. Rows that share their doc_id, which are one document, stay
+    once. Rows without doc_id cannot be told apart: one of them stays if a group has no other.
     """
-    groups = simhash_groups(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    first = first.select(F.col("doc_id").alias("_first"), "_n")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")))
-    once = kept.filter("_n = 1").select(*docs.columns)
-    return once.union(kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    grouped = near_copy_groups(docs)
+    ids = grouped.groupBy(F.col("_root").alias("_group")).agg(F.min("doc_id").alias("_first"))
+    kept = grouped.join(ids, (F.col("_root") == F.col("_group")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    last = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_row").alias("_kept"))
+    return grouped.join(last, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
