@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.mixing import mix_sources
-from quarry.llm.nearcopies import near_copy_groups
+from quarry.llm.nearcopies import one_of_each
 from quarry.llm.tokenbin import token_files
 from quarry.llm.toxicity import fit_toxicity
 from quarry.session import shared_dir, table
@@ -34,14 +34,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8) stays.
 
-    That is the one of the smallest doc_id. Rows that share their doc_id, which are one document, stay
-    once. Rows without doc_id cannot be told apart: one of them stays if a group has no other.
+    That is the one of the smallest doc_id; where rows of a group share it, or none has one, one row.
     """
-    grouped = near_copy_groups(docs)
-    ids = grouped.groupBy(F.col("_root").alias("_group")).agg(F.min("doc_id").alias("_first"))
-    kept = grouped.join(ids, (F.col("_root") == F.col("_group")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    last = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_row").alias("_kept"))
-    return grouped.join(last, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,3 +124,11 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     links = links.union(cut(held.groupBy("key").applyInPandas(_across, "a long, b long")).distinct())
     roots = cut(connected_components(links)).toDF("_member", "_root")
     return rows.join(roots, F.col("_node") == F.col("_member"), "left").select(*docs.columns, "_row", "_node", F.coalesce("_root", "_node").alias("_root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group: of the smallest doc_id, then by a hash of the text; of equal rows the last."""
+    grouped = near_copy_groups(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), (-F.col("_row")).alias("_last"))
+    kept = grouped.groupBy("_root").agg(F.min(order).alias("m")).select((-F.col("m._last")).alias("_kept"))
+    return grouped.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
