@@ -5,9 +5,11 @@ at slot floor(j / w) and due by slot ceil((j + 1) / w); every slot goes to the r
 due first (earliest deadline first). On one processor this meets all deadlines, so after any number
 of slots t each source has had more than t*w - 1 and less than t*w + 1 blocks.
 
-Weights are whole shares of a cycle, so one cycle is scheduled and repeats. When a source runs out, a
-new phase shares its slots among the others in proportion; no document is dropped or repeated. What
-the driver holds is bounded by sources x cycle, not by the corpus.
+Weights are exact fractions, rounded only where a caller sets ``cycle``. Where they are whole shares of
+a short cycle, that cycle is scheduled and repeats; elsewhere the whole phase is scheduled slot by slot.
+When a source runs out, a new phase shares its slots among the others in proportion; no document is
+dropped or repeated. The driver holds, and tasks get, at most eight bytes a slot: half a byte a document
+in blocks of 16.
 
 Documents are numbered within their source in the order of a hash of doc_id, in many small groups,
 so that a source with most of the rows is spread over many tasks.
@@ -20,9 +22,10 @@ after all others in proportion to their size.
 from __future__ import annotations
 
 import heapq
+from array import array
 from dataclasses import dataclass
-from functools import reduce
-from math import gcd
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
@@ -37,6 +40,8 @@ SQL = None
 
 #: Rows of a source that one task numbers.
 GROUP_ROWS = 100_000
+#: Slots of a cycle that is scheduled once and repeats.
+SHORT_CYCLE = 2048
 
 
 def pfair_cycle(shares: list[int]) -> list[np.ndarray]:
@@ -58,6 +63,42 @@ def pfair_cycle(shares: list[int]) -> list[np.ndarray]:
     return [np.array(s, np.int64) for s in slots]
 
 
+def pfair_run(shares: list[int], blocks: list[int]) -> list[np.ndarray]:
+    """Slots of each source as far as the first to place all its blocks; shares may be huge."""
+    total = sum(shares)
+    later = [(0, i) for i in range(len(shares))]
+    due: list[tuple] = []
+    slots = [array("q") for _ in shares]
+    t = 0
+    while True:
+        while later and later[0][0] <= t:
+            i = heapq.heappop(later)[1]
+            heapq.heappush(due, (-(-(len(slots[i]) + 1) * total // shares[i]), -shares[i], i))
+        deadline, _, i = heapq.heappop(due)
+        if deadline <= t:
+            raise AssertionError("a deadline was missed")
+        slots[i].append(t)
+        t += 1
+        if len(slots[i]) == blocks[i]:
+            return [np.array(s, np.int64) for s in slots]
+        heapq.heappush(later, (len(slots[i]) * total // shares[i], i))
+
+
+def exact_shares(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    scale = lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    return [a // gcd(*whole) for a in whole]
+
+
+def rounded_shares(weights: list[float], cycle: int) -> list[int]:
+    """Shares of about ``cycle`` slots, one at least for each weight."""
+    parts = max(cycle, 4 * len(weights))
+    shares = [max(1, round(parts * w / sum(weights))) for w in weights]
+    return [a // gcd(*shares) for a in shares]
+
+
 @dataclass(frozen=True)
 class Phase:
     """A stretch of the mix with the same sources. begun: blocks that each had before it."""
@@ -77,20 +118,19 @@ class Schedule:
     phases: list[Phase]
 
     @classmethod
-    def plan(cls, sizes: dict[str, int], weights: dict[str, float], block: int, cycle: int) -> Schedule:
+    def plan(cls, sizes: dict[str, int], weights: dict[str, float], block: int, cycle: int | None = None) -> Schedule:
         left = {s: -(-n // block) for s, n in sizes.items() if n}
         done, phases, start = dict.fromkeys(left, 0), [], 0
         while left:
             active = sorted(s for s in left if weights.get(s, 0) > 0)
             goal = {s: weights[s] for s in active} if active else {s: float(sizes[s]) for s in sorted(left)}
-            total = sum(goal.values())
-            parts = max(cycle, 4 * len(goal))
-            shares = [max(1, round(parts * w / total)) for w in goal.values()]
-            shares = [a // reduce(gcd, shares) for a in shares]
-            slots = dict(zip(goal, pfair_cycle(shares), strict=True))
-            length = sum(shares)
+            shares = exact_shares(list(goal.values())) if cycle is None else rounded_shares(list(goal.values()), cycle)
+            short = cycle is not None or sum(shares) <= SHORT_CYCLE
+            found = pfair_cycle(shares) if short else pfair_run(shares, [left[s] for s in goal])
+            slots = dict(zip(goal, found, strict=True))
+            length = sum(map(len, found))
             last = lambda s: (left[s] - 1) // len(slots[s]) * length + int(slots[s][(left[s] - 1) % len(slots[s])])  # noqa: E731, B023
-            end = min(map(last, goal)) + 1
+            end = min(map(last, goal)) + 1 if short else length
             phases.append(Phase(start, length, {s: done[s] for s in goal}, slots))
             for s in goal:
                 n = end // length * len(slots[s]) + int(np.searchsorted(slots[s], end % length))
@@ -121,10 +161,12 @@ class Schedule:
         return np.array([r[0] for r in rows], np.int64), np.concatenate(([0], np.cumsum([r[1] for r in rows], dtype=np.int64)))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block: int = 16, cycle: int = 2048) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block: int = 16, cycle: int | None = None) -> DataFrame:
     """``docs`` with phase, block (number within the source), slot and position (from 0) added.
 
     ``weights``: target weight of each source; if None, its row count to the power ``temperature``.
+    ``cycle``: weights are rounded to whole shares of so many slots, which bounds what the driver
+    holds but lets the mix drift from its target; by default weights are exact.
     """
     marks = ["phase", "block", "slot", "position"]
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
