@@ -179,8 +179,19 @@ class ShardReader:
         return np.frombuffer(self.unzip.decompress(self.file.read_at(int(e["length"]), int(e["offset"])), max_output_size=int(e["tokens"]) * self.width), f"<u{self.width}").astype("<u4")
 
 
+def pieces(ids: bytes, width: int, number: int = 8, size: int = 2048) -> list[bytes]:
+    """A document's ids whole if they are short, otherwise pieces spread evenly from its start to its end."""
+    if len(ids) <= number * size:
+        return [ids]
+    room = (len(ids) - size) // width
+    return [ids[at : at + size] for at in (i * room // (number - 1) * width for i in range(number))]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, by_word: bool, width: int, samples: int, size: int) -> bytes:
-    """From about ``samples`` documents, chosen by a hash of doc_id; b'' if they are too few."""
+    """From about ``samples`` documents, chosen by a hash of doc_id; b'' if they are too few.
+
+    Of documents of more than 16 KB of ids, eight pieces spread over the whole of them are taken.
+    """
     n = docs.count()
     share = int(min(1.0, samples / max(n, 1)) * (1 << 20))
     picked = docs.filter(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(6)), F.lit(1 << 20)) < share).select("text")
@@ -188,7 +199,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, by_word: bool, width: int,
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = Encoder.shared(tokenizer, by_word)
         for b in batches:
-            yield pd.DataFrame({"ids": [_narrow(x, width)[:16384] for x in code(["" if t is None else t for t in b["text"]])]})
+            yield pd.DataFrame({"ids": [p for x in code(["" if t is None else t for t in b["text"]]) for p in pieces(_narrow(x, width), width)]})
 
     parts = [bytes(r["ids"]) for r in picked.mapInPandas(encode, "ids binary").collect()]
     try:
