@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = sc._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
         if not found:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = "file://" + tempfile.mkdtemp(prefix="quarry-")
             sc.setCheckpointDir(found)
     return found
@@ -69,3 +73,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and drop its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of one job in the shared folder: they cut lineage, and Spark knows their true sizes.
+
+    ``clear`` removes all but those that are named; a job calls it once its result is written.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", itertools.count()
+        self.written: dict[int, str] = {}
+        self.held: list[DataFrame] = []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it again."""
+        path = f"{self.path}/{next(self.number):04d}"
+        df.write.parquet(path)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.written[id(found)] = path
+        self.held.append(found)
+        return found
+
+    def clear(self, *but: DataFrame) -> None:
+        kept = {self.written[id(df)] for df in but}
+        self.drop(*(df for df in self.held if self.written[id(df)] not in kept))
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that no later step reads."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.written.pop(id(df)))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.held = [x for x in self.held if x is not df]
