@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import cut
+from quarry.session import Scratch
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,26 +18,33 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Columns a, b -> node, root: the smallest node reachable, for every node that has an edge."""
+    """Columns a, b -> node, root: the smallest node reachable, for every node that has an edge.
+
+    The result is a table in the shared folder.
+    """
+    work = Scratch(edges.sparkSession, "components")
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = cut(edges)
+    edges = work.put(edges)
     before = _mark(edges)
     for _ in range(rounds):
         if before[0] == 0:
             break
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        # cut before each join: Spark then splits the rows of a node with very many edges
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
+        # written before each join: Spark then splits the rows of a node with very many edges
+        least = work.put(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         # an edge's own larger end keeps its smallest neighbour
-        large = cut(large.union(edges.select("hi", "lo").groupBy("hi").agg(F.min("lo").alias("lo"))).distinct())
-        small = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = work.put(large.union(edges.select("hi", "lo").groupBy("hi").agg(F.min("lo").alias("lo"))).distinct())
+        small = work.put(large.groupBy("hi").agg(F.min("lo").alias("m")))
         moved = large.join(small.withColumnRenamed("hi", "k"), F.col("hi") == F.col("k")).filter("lo <> m").select("lo", "m")
-        edges = cut(small.union(moved).toDF("hi", "lo").distinct())
+        edges = work.put(small.union(moved).toDF("hi", "lo").distinct())
+        work.clear(edges)
         now = _mark(edges)
         if now == before:
-            return edges.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            break
         before = now
-    if before[0]:
+    else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    found = work.put(edges.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("root")))
+    work.clear(found)
+    return found

@@ -1,60 +1,89 @@
 """Groups of near copies: texts that share at least 0.8 of their distinct five-word shingles.
 
-Words are cut and folded as in ``simhash``; shingles are XXH64 (seed 42). Texts of equal shingle sets
-are one node. ``BANDS`` x ``MINIMA`` minima of permuted hashes give each node its band keys; nodes that
-share a key are candidates, and each link is made only after the exact similarity of the two sets has
-been worked out. A pair of similarity 0.8 shares no key with probability 8e-5, one of 0.85 with 3e-7.
-
-Candidates are first compared with the least node of their bucket; what lies in one bucket but not yet
-in one component is then compared pair by pair within a task: rows grow with the members of buckets,
-never with pairs.
+Words are cut and folded as in ``simhash``; a shingle is a 64-bit hash. Texts of equal shingle sets are
+one node. Fingerprints are SimHash over the distinct shingles; two sets of similarity 0.8 differ in
+about 10 of 64 bits, some in twice as many, so shelves of equal fingerprint bits cannot hold them (a
+radius that does lets in most of a corpus). Shelves are therefore named by minima of permuted hashes:
+``BANDS`` shelves a node, each by ``MINIMA`` minima; a pair of similarity 0.8 shares none of them with
+probability 7e-5, one of 0.9 with 6e-10. Within shelves, fingerprints are compared up to ``RADIUS``
+bits (a pair of 0.8 lies beyond with 1e-6), and a link is made only after the exact similarity of the
+two sets has been worked out.
+
+Every member of a shelf is first compared with one leader of it, twice with other leaders. Of shelves
+that then still hold several components, those of few members go to a task each, which searches them
+by a Gray tree, closest pairs first, and never compares what is linked already. Larger ones are dealt
+anew to smaller shelves inside each, by further minima, and so on: rows grow with the members of
+shelves, never with pairs, and no shelf is cut or left out.
 
 Defined cases: texts without words (null, empty, white space) have the empty set and are one node; a
-text of fewer words than a shingle is one shingle; a null doc_id never stands before one that is set.
+text of fewer words than a shingle is one shingle; very long texts are read whole; a null doc_id never
+stands before one that is set; of rows with equal doc_id and text one stays, and it is arbitrary which
+one where their other columns differ; extra columns pass through, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.session import cut, small_batches
+from quarry.llm.rolling import FOLD, mix, tables
+from quarry.llm.simhash import GrayTree
+from quarry.session import Scratch, small_batches
 
-BANDS, MINIMA = 40, 7
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_rng = np.random.default_rng(20)  # fixed value: the permutations
-_FLIP, _TIMES = _rng.integers(0, 1 << 64, (2, BANDS * MINIMA, 1), np.uint64)
-_TIMES = _TIMES | np.uint64(1)
-_JOIN = _rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
+WORDS, BANDS, MINIMA, RADIUS = 5, 24, 5, 24
+#: Members, and shingles of all members, of a shelf that one task searches.
+SHELF_ROWS, SHELF_SHINGLES = 1_000, 1 << 22
+LEADERS, DEEPEST = 2, 8
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_permutations: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
-    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not w:
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(FOLD), np.uint8)
+    edge = np.diff(np.concatenate(([True], _BLANK[b], [True])).view(np.int8))
+    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
         return np.empty(0, np.uint64)
-    line, n = b" ".join(w), max(1, len(w) - words + 1)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = (ends[words - 1 :] if len(w) >= words else ends[-1:]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
-
-
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band; none for the empty set."""
+    power, back = tables(len(b) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
+    word = mix((sums[stops] - sums[starts]) * back[starts])
+    n = max(1, len(word) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(words, len(word))):
+        h = h * _BASE + word[i : i + n]
+    return np.unique(mix(h))
+
+
+def simhash(found: np.ndarray) -> np.uint64:
+    """A bit is set if it is set in more than half of the set's hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        part = found[at : at + (1 << 16)]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)[0]
+
+
+def band_keys(found: np.ndarray, depth: int = 0) -> np.ndarray:
+    """A key for each band, other ones at each depth; none for the empty set."""
     if not len(found):
         return np.empty(0, np.int64)
+    if depth not in _permutations:
+        rng = np.random.default_rng([20, depth])  # fixed value: the permutations
+        flip, times = rng.integers(0, 1 << 64, (2, BANDS * MINIMA, 1), np.uint64)
+        _permutations[depth] = flip, times | np.uint64(1), rng.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
+    flip, times, join = _permutations[depth]
     least = np.full(BANDS * MINIMA, ~np.uint64(0))
-    for at in range(0, len(found), 1024):
-        least = np.minimum(least, ((found[at : at + 1024] ^ _FLIP) * _TIMES).min(1))
-    return (least.reshape(BANDS, MINIMA) * _JOIN).sum(1, dtype=np.uint64).view(np.int64)
+    for at in range(0, len(found), 256):
+        least = np.minimum(least, ((found[at : at + 256] ^ flip) * times).min(1))
+    return (least.reshape(BANDS, MINIMA) * join).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -62,73 +91,133 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     small, large = min(len(a), len(b)), max(len(a), len(b))
     if 5 * small < 4 * large:
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (small + large - both)
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 5 * common >= 4 * (small + large - common)
+
+
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def _set_of(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
 
+def _code(texts: pd.Series) -> pd.DataFrame:
+    found = [shingles(t) for t in texts]
+    node = [xxhash.xxh64_intdigest(f.tobytes(), 7) for f in found]
+    return pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "fp": np.array([simhash(f) for f in found], np.uint64).view(np.int64), "size": [len(f) for f in found], "keys": [band_keys(f) for f in found]})
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b["set_a"], b["set_b"], strict=True)]
-        yield b.loc[np.array(ok, bool), ["a", "b"]]
+
+def _deeper(depth: int):
+    def keys(sets: pd.Series) -> pd.Series:
+        return pd.Series([band_keys(np.frombuffer(x, np.uint64), depth) for x in sets], dtype=object)
+
+    return F.pandas_udf(keys, "array<long>")
 
 
 def _across(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one bucket; what they join up is not compared again."""
-    node, label = bucket["node"].to_numpy(), np.unique(bucket["root"].to_numpy(), return_inverse=True)[1]
+    """Links between the components of one shelf; what they join up is not compared again."""
+    node, fp = bucket["node"].to_numpy(), bucket["fp"].to_numpy().view(np.uint64)
+    label = np.unique(bucket["root"].to_numpy(), return_inverse=True)[1]
     sets = [np.frombuffer(x, np.uint64) for x in bucket["set"]]
+    tree = GrayTree(np.zeros(len(fp), np.int64), fp)
     a, b = [], []
-    for i in range(len(node)):
-        for j in np.flatnonzero(label[:i] != label[i]).tolist():
-            if label[i] != label[j] and similar(sets[i], sets[j]):
-                a.append(node[i])
-                b.append(node[j])
-                label[label == label[i]] = label[j]
+    for q, place in tree.search(np.zeros(len(fp), np.int64), fp, RADIUS):
+        other = tree.order[place]
+        new = (q < other) & (label[q] != label[other])
+        q, other = q[new], other[new]
+        for i in np.argsort(np.bitwise_count(fp[q] ^ fp[other]), kind="stable").tolist():
+            x, y = int(q[i]), int(other[i])
+            if label[x] != label[y] and similar(sets[x], sets[y]):
+                a.append(node[x])
+                b.append(node[y])
+                label[label == label[x]] = label[y]
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` in one struct, and what names a row: is doc_id absent, doc_id, a hash of the text."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    absent = F.col("doc_id").isNull()
+    return docs.select(absent.alias("absent"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("th"), row.alias("row"))
+
+
+NAME_OF_ROW = ["absent", "id", "th"]
+
+
+def _verified(work: Scratch, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets (node, set) are similar."""
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut(both.select("a", "b", "set_a", "set_b").mapInPandas(_check, "a long, b long"))
+    return work.put(both.filter(F.pandas_udf(_similar, "boolean")("set_a", "set_b")).select("a", "b"))
+
+
+def _differ() -> Column:
+    return (F.col("root") != F.col("leads.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leads.fp"))) <= RADIUS)
+
+
+def _rooted(work: Scratch, placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (key, node, fp, size, root) with the roots of components under all links so far.
+
+    Shelves of one component go, and all but one of those with the same members.
+    """
+    roots = connected_components(links).toDF("member", "top")
+    placed = placed.join(roots, F.col("node") == F.col("member"), "left").select("key", "node", "fp", "size", F.coalesce("top", "node").alias("root"))
+    placed = work.put(placed)
+    about = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    mixed = work.put(about.filter("lo < hi").groupBy("who").agg(F.min("key").alias("key")).select("key"))
+    return work.put(placed.join(mixed, "key", "left_semi"))
+
+
+def _links(work: Scratch, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) of similar nodes that join up all of them."""
+    filed = nodes.select("node", "fp", "size", F.explode("keys").alias("key"))
+    shared = work.put(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key"))
+    placed = work.put(filed.join(shared, "key").select("key", "node", "fp", "size", F.col("node").alias("root")))
+    wanted = nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    texts = _rows(docs).select(*NAME_OF_ROW, F.col("row.text").alias("text")).join(work.put(wanted), NAME_OF_ROW).dropDuplicates(["node"])
+    sets = work.put(texts.select("node", F.pandas_udf(_set_of, "binary")("text").alias("set")))
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    for depth in range(DEEPEST + 1):
+        for turn in range(LEADERS):
+            leads = work.put(placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "fp", "root")).alias("leads")))
+            pairs = placed.join(leads, "key").filter(_differ()).select(F.col("node").alias("a"), F.col("leads.node").alias("b"))
+            found = _verified(work, work.put(pairs.distinct()), sets)
+            links = links.union(found)
+            placed = _rooted(work, placed, links)
+        loads = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+        large = F.lit(False) if depth == DEEPEST else (F.col("n") > SHELF_ROWS) | (F.col("all") > SHELF_SHINGLES)
+        loads = work.put(loads.select("key", large.alias("large")))
+        held = placed.join(loads.filter("not large"), "key", "left_semi").join(sets, "node")
+        links = links.union(work.put(held.select("key", "node", "fp", "root", "set").groupBy("key").applyInPandas(_across, "a long, b long").distinct()))
+        rest = work.put(placed.join(loads.filter("large"), "key", "left_semi"))
+        if rest.isEmpty():
+            return links
+        keys = work.put(rest.select("node").distinct().join(sets, "node").select("node", _deeper(depth + 1)("set").alias("keys")))
+        filed = work.put(rest.join(keys, "node").select(F.explode(F.transform("keys", lambda k: F.xxhash64("key", k))).alias("key"), "node", "fp", "size"))
+        shared = work.put(filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key"))
+        placed = _rooted(work, filed.join(shared, "key"), links)
+    return links
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row (a number of its own), _node (of its shingle set) and _root (of its group) added."""
-
-    @F.pandas_udf("node long, keys array<long>")
-    def code(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t) for t in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(f.tobytes(), 7) for f in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "keys": [band_keys(f) for f in found]})
-
-    @F.pandas_udf("binary")
-    def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
-
+    """A row for each distinct shingle set: node, size, root of its group, first (name of its first row)."""
     small_batches(docs.sparkSession)
-    rows = cut(docs.withColumn("_code", code("text")).select(*docs.columns, F.col("_code.node").alias("_node"), F.col("_code.keys").alias("_keys"), F.monotonically_increasing_id().alias("_row")))
-    nodes = rows.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("_row", "_keys")).alias("m"))
-    filed = cut(nodes.select("node", F.col("m._row").alias("_row"), F.explode("m._keys").alias("key")))
-    shared = filed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_far")).filter("hub < _far").select("key", "hub")
-    filed = cut(filed.join(shared, "key"))
-    texts = rows.select("_row", "_node", "text").join(filed.select("_row").distinct(), "_row", "left_semi")
-    sets = cut(texts.select(F.col("_node").alias("node"), set_of("text").alias("set")))
-
-    links = verified(cut(filed.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), sets)
-    roots = connected_components(links)
-    placed = cut(filed.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    placed = cut(placed.join(mixed, "key", "left_semi"))
-    held = placed.join(sets, "node").select("key", "node", "root", "set")
-    links = links.union(cut(held.groupBy("key").applyInPandas(_across, "a long, b long")).distinct())
-    roots = cut(connected_components(links)).toDF("_member", "_root")
-    return rows.join(roots, F.col("_node") == F.col("_member"), "left").select(*docs.columns, "_row", "_node", F.coalesce("_root", "_node").alias("_root"))
+    work = Scratch(docs.sparkSession, "nearcopies")
+    rows = _rows(docs)
+    coded = rows.select(F.struct(*NAME_OF_ROW).alias("first"), F.pandas_udf(_code, "node long, fp long, size long, keys array<long>")("row.text").alias("c")).select("first", "c.*")
+    nodes = coded.groupBy("node").agg(F.min(F.struct("first", "fp", "size", "keys")).alias("m"))
+    nodes = work.put(nodes.select("node", "m.*"))
+    roots = connected_components(_links(work, nodes, docs)).toDF("member", "top")
+    found = work.put(nodes.join(roots, F.col("node") == F.col("member"), "left").select("node", "size", "first", F.coalesce("top", "node").alias("root")))
+    work.clear(found)
+    return found
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each group: of the smallest doc_id, then by a hash of the text; of equal rows the last."""
-    grouped = near_copy_groups(docs)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), (-F.col("_row")).alias("_last"))
-    kept = grouped.groupBy("_root").agg(F.min(order).alias("m")).select((-F.col("m._last")).alias("_kept"))
-    return grouped.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    """One row of each group: that of the smallest doc_id, then by a hash of the text."""
+    kept = Scratch(docs.sparkSession, "kept").put(near_copy_groups(docs).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    rows = _rows(docs).join(kept, NAME_OF_ROW, "left_semi").dropDuplicates(NAME_OF_ROW)
+    return rows.select("row.*")
