@@ -90,9 +90,10 @@ def _windows(df: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, share: float = 0.05) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, longest, text_hash.
 
-    ``text_hash`` is xxhash64 of the text: with doc_id it names the row where ids repeat.
+    ``longest``: words of the longest window that occurs (0: none); ``window`` where a passage of the
+    benchmark does. ``text_hash`` is xxhash64 of the text: with doc_id it names the row where ids repeat.
     ``share``: a document is contaminated when at least this share of its words is hit.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
@@ -126,6 +127,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     found = found.join(near(runs), ["n", "run"]).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
+        F.max("n").alias("longest"),
     )
     covered = F.aggregate(
         "spans",
@@ -136,7 +138,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         ),
         lambda acc: acc["hits"].cast("long"),
     )
-    found = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), covered.alias("n_hit"), "items")
+    found = found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), covered.alias("n_hit"), "items", "longest")
     out = seen.join(found, same, "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast(found.schema["items"].dataType)), lambda x: x.cast("string")))
@@ -148,6 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") >= share * F.col("n_words"))).alias("contaminated"),
         ids.alias("items"),
+        F.coalesce("longest", F.lit(0)).alias("longest"),
         F.col("th").alias("text_hash"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
@@ -156,7 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     exact = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.withColumn("contaminated", exact).drop("items", "text_hash")
+    return found.withColumn("contaminated", exact).drop("items", "longest", "text_hash")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
