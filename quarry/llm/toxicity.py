@@ -8,12 +8,14 @@
    estimates each voter's accuracy given the class, and the correlations of voters as a tree of
    class-conditional pair tables (the tree of greatest conditional mutual information). Given labels
    take part as one more voter of a fixed, small error rate. Only pattern counts reach the driver; there are at most 3^voters.
-3. A linear (logistic) classifier is trained on the posterior labels of the sampled rows and scores
-   every document. Labels, lang, source and doc_id never enter a score.
+3. A linear (logistic) classifier is trained on the posterior labels of the sampled rows, and of as
+   many without a label, and scores every document. Labels, lang, source and doc_id never enter a score.
 
 Rows with crc32(doc_id as text) mod 5 = 0 are held out: their labels are read by no step.
 
-Defined cases: null and empty texts have no words and get the score of an empty text; a doc_id that
+Defined cases: null and empty texts have no words and get the score of the classifier's constant alone
+(below 0.5 unless most texts are toxic); very long texts are read whole, and extra columns pass through
+the stored rows whatever their names; a doc_id that
 is labelled twice has its mean label (a tie is toxic); null labels count as absent; repeated rows
 each come back; a null doc_id counts as the text ''; without any usable label every score is the
 prior 0.5 cut to "not toxic" by a score of 0.
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import cut, small_batches, table
+from quarry.session import Scratch, cut, small_batches, table
 
 NAME = "op4_toxicity"
 SQL = None
@@ -145,19 +147,17 @@ def examine(text: str | None, lex: Lexicon) -> tuple[list[int], dict[int, float]
 
 
 def _examiner(lex: Lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [examine(t, lex) for t in b["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": b["doc_id"],
-                    "pattern": ["".join("-0+"[v + 1] for v in votes) for votes, _ in found],
-                    "at": [sorted(f) for _, f in found],
-                    "value": [[f[i] for i in sorted(f)] for _, f in found],
-                }
-            )
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [examine(t, lex) for t in texts]
+        return pd.DataFrame(
+            {
+                "pattern": ["".join("-0+"[v + 1] for v in votes) for votes, _ in found],
+                "at": [sorted(f) for _, f in found],
+                "value": [[f[i] for i in sorted(f)] for _, f in found],
+            }
+        )
 
-    return run
+    return F.pandas_udf(run, "pattern string, at array<int>, value array<double>")
 
 
 @dataclass
@@ -246,37 +246,44 @@ class ToxicityModel:
         f = examine(text, self.lexicon)[1]
         return self.score(sorted(f), [f[i] for i in sorted(f)])
 
-    def column(self, text: str = "text") -> Column:
-        """Score of each text, from the text alone."""
+    def column(self, at: Column, value: Column) -> Column:
+        """Score of each feature vector."""
 
         @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series([self.score_text(t) for t in texts], dtype=float)
+        def score(at: pd.Series, value: pd.Series) -> pd.Series:
+            return pd.Series([self.score(i, v) for i, v in zip(at, value, strict=True)], dtype=float)
 
-        return score(F.col(text))
+        return score(at, value)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> tuple[ToxicityModel, DataFrame]:
-    """The model, and every document's doc_id, pattern of votes and features (at, value).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_unlabelled: int = 12_000, keep: list[str] | None = None) -> tuple[ToxicityModel, DataFrame]:
+    """The model, and for every row of ``docs``: doc_id, row (its columns ``keep``, or all), pattern of
+    votes, features (at, value).
 
     ``max_labelled``: rows of the labelled sample that lexicons and the classifier are fitted on
-    (about; chosen by a hash of doc_id). Vote statistics are over all documents.
+    (about; chosen by a hash of doc_id). ``max_unlabelled``: rows without a label that may be read whose
+    posteriors the classifier learns from as well. Vote statistics are over all documents.
     """
     small_batches(docs.sparkSession)
+    work = Scratch(docs.sparkSession, "toxicity")
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    known = cut(known.filter(~held_out(F.col("doc_id"))))
-    share = min(1.0, max_labelled / max(1, known.count()))
-    picked = known.withColumn("picked", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    known = work.put(known.filter(~held_out(F.col("doc_id"))))
+    n_known = known.count()
+    chosen = lambda most, n: F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < int(min(1.0, most / max(1, n)) * (1 << 20))
+    picked = known.withColumn("picked", chosen(max_labelled, n_known))
     given = picked.filter("picked").select(F.col("doc_id").alias("_id"), "toxic")
-    text = docs.select("doc_id", "text")
-    sample = cut(text.join(given, F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+    sample = work.put(docs.select("doc_id", "text").join(given, F.col("doc_id") == F.col("_id")).select("text", "toxic"))
     lex = build_lexicon(sample)
 
-    seen = cut(text.mapInPandas(_examiner(lex), "doc_id long, pattern string, at array<int>, value array<double>"))
-    marked = seen.join(picked.select(F.col("doc_id").alias("_id"), "toxic", "picked"), F.col("doc_id") == F.col("_id"), "left")
+    row = F.struct(*(F.col(f"`{c}`") for c in (keep or docs.columns))).alias("row")
+    seen = work.put(docs.select("doc_id", row, _examiner(lex)("text").alias("found")).select("doc_id", "row", "found.*"))
+    n_seen = seen.count()
+    marked = seen.select("doc_id", "pattern", "at", "value").join(picked.select(F.col("doc_id").alias("_id"), "toxic", "picked"), F.col("doc_id") == F.col("_id"), "left")
     marked = marked.withColumn("vote", F.expr("case toxic when 1 then '+' when 0 then '-' else '0' end"))
     counts = marked.groupBy(F.concat("vote", "pattern").alias("p")).count().collect()
-    train = marked.filter("picked").select(F.concat("vote", "pattern").alias("p"), "at", "value").collect()
+    without = F.col("picked").isNull() & chosen(max_unlabelled, n_seen - n_known)
+    train = marked.filter(F.coalesce("picked", without, F.lit(False))).select(F.concat("vote", "pattern").alias("p"), "at", "value").collect()
+    work.clear(seen)
     if not lex.words and not lex.stems or not train:
         return ToxicityModel(lex, None), seen
     votes, weight = _decode([r["p"] for r in counts]), np.array([r["count"] for r in counts], float)
@@ -293,13 +300,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000)
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model, seen = fit_toxicity(docs, labels, max_labelled)
-
-    @F.pandas_udf("double")
-    def score(at: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([model.score(i, v) for i, v in zip(at, value, strict=True)], dtype=float)
-
-    scored = seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score("at", "value").alias("score"))
+    model, seen = fit_toxicity(docs, labels, max_labelled, keep=["doc_id"])
+    scored = seen.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.column(F.col("at"), F.col("value")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
