@@ -26,25 +26,32 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go. Scores are made where the rows lie: no join."""
-    model, _ = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(model.column("text") < 0.5)
+    """Documents with a score of 0.5 or more go. Features lie beside the rows: no join, one look at a text."""
+    model, seen = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return seen.filter(model.column(F.col("at"), F.col("value")) < 0.5).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8) stays.
+    """One document of each group of near copies (five-word shingles, similarity of 0.8) stays: the one
+    of the smallest doc_id; where rows of a group share it, or none has one, one row.
 
-    That is the one of the smallest doc_id; where rows of a group share it, or none has one, one row.
+    SimHash shelves cannot hold that similarity (``nearcopies`` says why), so the Gray-order trees of the
+    SimHash operator search shelves of hash minima here, and exact similarities decide.
     """
     return one_of_each(docs)
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark passages go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 13) -> DataFrame:
+    """Documents that hold a whole window of a benchmark item go, however long they are.
+
+    Of items shorter than a window, a twentieth or more of a document's words must lie in them.
+    """
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), window)
+    bad = found.filter((F.col("longest") >= window) | F.col("contaminated"))
+    bad = bad.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("th")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th"))
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
