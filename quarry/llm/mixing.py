@@ -3,20 +3,23 @@
 Each source's documents are cut into blocks. With weight w, block j (from 0) of a source is released
 at slot floor(j / w) and due by slot ceil((j + 1) / w); every slot goes to the released block that is
 due first (earliest deadline first). On one processor this meets all deadlines, so after any number
-of slots t each source has had more than t*w - 1 and less than t*w + 1 blocks.
+of slots t each source has had more than t*w - 1 and less than t*w + 1 blocks. Weights are exact.
 
-Weights are exact fractions, rounded only where a caller sets ``cycle``. Where they are whole shares of
-a short cycle, that cycle is scheduled and repeats; elsewhere the whole phase is scheduled slot by slot.
-When a source runs out, a new phase shares its slots among the others in proportion; no document is
-dropped or repeated. The driver holds, and tasks get, at most eight bytes a slot: half a byte a document
-in blocks of 16.
+When a source runs out, a new phase begins, in which the others share its slots in proportion: releases
+and deadlines lie on a virtual time that then runs faster, so nothing is planned anew and a source
+carries on with the fraction of a block that it is ahead or behind. No document is dropped or repeated.
 
-Documents are numbered within their source in the order of a hash of doc_id, in many small groups,
+The plan is made slot by slot on the driver, one heap step each, whatever the number of sources. Blocks
+have at least ``block`` documents, more where there would else be over ``MOST_SLOTS`` of them, so the
+driver holds, and tasks get, eight bytes a slot: 32 MB at most.
+
+Documents are numbered within their source in the order of a hash of the row, in many small groups,
 so that a source with most of the rows is spread over many tasks.
 
-Defined cases: null is a source of its own; text plays no part; rows of one doc_id have places next
-to each other; an empty table gives no rows; sources missing from ``weights`` or given weight 0 follow
-after all others in proportion to their size.
+Defined cases: null is a source of its own; text plays no part, however long; a null or repeated doc_id
+is placed like any other, equal rows next to each other; an empty table gives no rows; sources missing
+from ``weights`` or given weight 0 follow after all others in proportion to their size; extra columns
+pass through, but phase, block, slot and position replace columns of these names.
 """
 
 from __future__ import annotations
@@ -33,55 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.session import cut, table
+from quarry.session import Scratch, table
 
 NAME = "op8_mix_sources"
 SQL = None
 
 #: Rows of a source that one task numbers.
 GROUP_ROWS = 100_000
-#: Slots of a cycle that is scheduled once and repeats.
-SHORT_CYCLE = 2048
-
-
-def pfair_cycle(shares: list[int]) -> list[np.ndarray]:
-    """For shares that add up to a cycle of slots: the slots of each source, in order."""
-    cycle = sum(shares)
-    due: list[tuple] = []
-    released: list[list[tuple]] = [[] for _ in range(cycle)]
-    for i, a in enumerate(shares):
-        for j in range(a):
-            released[j * cycle // a].append((((j + 1) * cycle + a - 1) // a, -a, i))
-    slots: list[list[int]] = [[] for _ in shares]
-    for t in range(cycle):
-        for block in released[t]:
-            heapq.heappush(due, block)
-        deadline, _, i = heapq.heappop(due)
-        if deadline <= t:
-            raise AssertionError("a deadline was missed")
-        slots[i].append(t)
-    return [np.array(s, np.int64) for s in slots]
-
-
-def pfair_run(shares: list[int], blocks: list[int]) -> list[np.ndarray]:
-    """Slots of each source as far as the first to place all its blocks; shares may be huge."""
-    total = sum(shares)
-    later = [(0, i) for i in range(len(shares))]
-    due: list[tuple] = []
-    slots = [array("q") for _ in shares]
-    t = 0
-    while True:
-        while later and later[0][0] <= t:
-            i = heapq.heappop(later)[1]
-            heapq.heappush(due, (-(-(len(slots[i]) + 1) * total // shares[i]), -shares[i], i))
-        deadline, _, i = heapq.heappop(due)
-        if deadline <= t:
-            raise AssertionError("a deadline was missed")
-        slots[i].append(t)
-        t += 1
-        if len(slots[i]) == blocks[i]:
-            return [np.array(s, np.int64) for s in slots]
-        heapq.heappush(later, (len(slots[i]) * total // shares[i], i))
+#: Slots that the driver plans at most; beyond them blocks are larger.
+MOST_SLOTS = 1 << 22
+_FINE = 32  # bits of virtual time after the point
 
 
 def exact_shares(weights: list[float]) -> list[int]:
@@ -89,67 +53,67 @@ def exact_shares(weights: list[float]) -> list[int]:
     exact = [Fraction(w) for w in weights]
     scale = lcm(*(w.denominator for w in exact))
     whole = [int(w * scale) for w in exact]
-    return [a // gcd(*whole) for a in whole]
+    common = gcd(*whole)
+    return [a // common for a in whole]
 
 
-def rounded_shares(weights: list[float], cycle: int) -> list[int]:
-    """Shares of about ``cycle`` slots, one at least for each weight."""
-    parts = max(cycle, 4 * len(weights))
-    shares = [max(1, round(parts * w / sum(weights))) for w in weights]
-    return [a // gcd(*shares) for a in shares]
+def pfair(shares: list[int], blocks: list[int]) -> tuple[list[np.ndarray], list[int]]:
+    """Slots of each source's blocks, and the slots at which phases begin.
 
-
-@dataclass(frozen=True)
-class Phase:
-    """A stretch of the mix with the same sources. begun: blocks that each had before it."""
-
-    start: int
-    cycle: int
-    begun: dict[str, int]
-    slots: dict[str, np.ndarray]
+    Virtual time advances by one a slot in the first phase, so block j of share a out of ``total`` is
+    released at j * total / a and due at (j + 1) * total / a; later by total over the shares left.
+    """
+    total = left = sum(shares)
+    later = [(0, i) for i in range(len(shares))]
+    due: list[tuple[int, int, int]] = []
+    slots = [array("q") for _ in shares]
+    starts, base, begun = [0], 0, 0
+    for t in range(sum(blocks)):
+        now = base + ((t + 1 - begun) * total << _FINE) // left
+        while later and (later[0][0] < now or not due):  # the second: the others are ahead of a finished source
+            i = heapq.heappop(later)[1]
+            heapq.heappush(due, (-(-((len(slots[i]) + 1) * total << _FINE) // shares[i]), -shares[i], i))
+        deadline, _, i = heapq.heappop(due)
+        if begun == 0 and deadline <= t << _FINE:
+            raise AssertionError("a deadline was missed")
+        slots[i].append(t)
+        if len(slots[i]) < blocks[i]:
+            heapq.heappush(later, ((len(slots[i]) * total << _FINE) // shares[i], i))
+        elif left > shares[i]:
+            base, begun, left = now, t + 1, left - shares[i]
+            starts.append(t + 1)
+    return [np.array(s, np.int64) for s in slots], starts
 
 
 @dataclass(frozen=True)
 class Schedule:
-    """Slots and places of any (source, number) pairs, by arithmetic on the cycles."""
+    """Slots and places of any (source, number) pairs."""
 
     block: int
     sizes: dict[str, int]
-    phases: list[Phase]
+    taken: dict[str, np.ndarray]
+    starts: np.ndarray
 
     @classmethod
-    def plan(cls, sizes: dict[str, int], weights: dict[str, float], block: int, cycle: int | None = None) -> Schedule:
-        left = {s: -(-n // block) for s, n in sizes.items() if n}
-        done, phases, start = dict.fromkeys(left, 0), [], 0
-        while left:
-            active = sorted(s for s in left if weights.get(s, 0) > 0)
-            goal = {s: weights[s] for s in active} if active else {s: float(sizes[s]) for s in sorted(left)}
-            shares = exact_shares(list(goal.values())) if cycle is None else rounded_shares(list(goal.values()), cycle)
-            short = cycle is not None or sum(shares) <= SHORT_CYCLE
-            found = pfair_cycle(shares) if short else pfair_run(shares, [left[s] for s in goal])
-            slots = dict(zip(goal, found, strict=True))
-            length = sum(map(len, found))
-            last = lambda s: (left[s] - 1) // len(slots[s]) * length + int(slots[s][(left[s] - 1) % len(slots[s])])  # noqa: E731, B023
-            end = min(map(last, goal)) + 1 if short else length
-            phases.append(Phase(start, length, {s: done[s] for s in goal}, slots))
-            for s in goal:
-                n = end // length * len(slots[s]) + int(np.searchsorted(slots[s], end % length))
-                done[s] += n
-                left[s] -= n
-            left = {s: n for s, n in left.items() if n}
-            start += end
-        return cls(block, sizes, phases)
+    def plan(cls, sizes: dict[str, int], weights: dict[str, float], block: int) -> Schedule:
+        block = max(block, -(-sum(sizes.values()) // MOST_SLOTS))
+        taken: dict[str, np.ndarray] = {}
+        starts: list[int] = []
+        first = sorted(s for s, n in sizes.items() if n and weights.get(s, 0) > 0)
+        rest = sorted({s for s, n in sizes.items() if n} - set(first))
+        for names, goal in ((first, [weights[s] for s in first]), (rest, [sizes[s] for s in rest])):
+            if names:
+                found, begun = pfair(exact_shares(goal), [-(-sizes[s] // block) for s in names])
+                at = sum(map(len, taken.values()))
+                taken |= {s: f + at for s, f in zip(names, found, strict=True)}
+                starts += [at + b for b in begun]
+        return cls(block, sizes, taken, np.array(starts, np.int64))
 
     def slots(self, source: str, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Phase and slot of the source's blocks of these numbers."""
-        own = [(k, p) for k, p in enumerate(self.phases) if source in p.slots]
-        which = np.searchsorted([p.begun[source] for _, p in own], block, "right") - 1
-        phase, slot = np.empty_like(block), np.empty_like(block)
-        for n, (k, p) in enumerate(own):
-            here = which == n
-            j, at = block[here] - p.begun[source], p.slots[source]
-            phase[here], slot[here] = k, p.start + j // len(at) * p.cycle + at[j % len(at)]
-        return phase, slot
+        slot = self.taken[source][block]
+        return np.searchsorted(self.starts, slot, "right") - 1, slot
+
 
     def short(self) -> tuple[np.ndarray, np.ndarray]:
         """Slots of last blocks that are not full, and the rows missing up to and with each."""
@@ -161,44 +125,40 @@ class Schedule:
         return np.array([r[0] for r in rows], np.int64), np.concatenate(([0], np.cumsum([r[1] for r in rows], dtype=np.int64)))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block: int = 16, cycle: int | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.5, block: int = 16) -> DataFrame:
     """``docs`` with phase, block (number within the source), slot and position (from 0) added.
 
     ``weights``: target weight of each source; if None, its row count to the power ``temperature``.
-    ``cycle``: weights are rounded to whole shares of so many slots, which bounds what the driver
-    holds but lets the mix drift from its target; by default weights are exact.
     """
-    marks = ["phase", "block", "slot", "position"]
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    marks = ("phase", "block", "slot", "position")
     kept = [c for c in docs.columns if c not in marks]
-    rows = docs.select(*kept).withColumn("_source", key)
-    sizes = {r["_source"]: r["count"] for r in rows.groupBy("_source").count().collect()}
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    plain = [c for c, kind in docs.dtypes if c in kept and "map<" not in kind]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), source.alias("source"), F.xxhash64(*(F.col(f"`{c}`") for c in plain)).alias("order"))
+    sizes = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
     goal = {s: n**temperature for s, n in sizes.items()} if weights is None else {"" if s is None else f"={s}": w for s, w in weights.items()}
-    plan = Schedule.plan(sizes, goal, block, cycle)
+    plan = Schedule.plan(sizes, goal, block)
     edge, missing = plan.short()
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = max(tasks, -(-max(sizes.values(), default=1) // GROUP_ROWS))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(groups)))
-    counts = cut(rows.groupBy("_source", "_group").count())
-    before = Window.partitionBy("_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("_source").alias("_s"), F.col("_group").alias("_g"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_source", "_group").orderBy(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(9)), "doc_id")
-    rows = rows.withColumn("_n", F.row_number().over(inner).cast("long"))
-    rows = rows.join(counts, (F.col("_source") == F.col("_s")) & (F.col("_group") == F.col("_g")))
-
-    @F.pandas_udf("phase long, slot long, position long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("order", F.lit(8)), F.lit(groups)))
+    counts = Scratch(docs.sparkSession, "mixing").put(rows.groupBy("source", "part").count())
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "part").orderBy("order")).cast("long"))
+    rows = rows.join(counts, ["source", "part"]).withColumn("number", F.col("base") + F.col("n") - 1)
+
+    @F.pandas_udf("phase long, block long, slot long, position long")
     def place(source: pd.Series, number: pd.Series) -> pd.DataFrame:
         n = number.to_numpy()
-        out = np.empty((3, len(n)), np.int64)
+        out = np.empty((4, len(n)), np.int64)
         for s, at in source.groupby(source).indices.items():
-            phase, slot = plan.slots(s, n[at] // block)
-            out[:, at] = phase, slot, slot * block - missing[np.searchsorted(edge, slot, "left")] + n[at] % block
-        return pd.DataFrame({"phase": out[0], "slot": out[1], "position": out[2]})
+            phase, slot = plan.slots(s, n[at] // plan.block)
+            out[:, at] = phase, n[at] // plan.block, slot, slot * plan.block - missing[np.searchsorted(edge, slot, "left")] + n[at] % plan.block
+        return pd.DataFrame(dict(zip(marks, out, strict=True)))
 
-    number = F.col("_base") + F.col("_n") - 1
-    rows = rows.withColumn("_at", place("_source", number)).withColumn("block", F.floor(number / block).cast("long"))
-    return rows.select(*kept, "_at.phase", "block", "_at.slot", "_at.position")
+    return rows.withColumn("place", place("source", "number")).select("row.*", *(f"place.{c}" for c in marks))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
