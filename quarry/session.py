@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,9 +77,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one job in the shared folder: they cut lineage, and Spark knows their true sizes.
 
+    Shuffle files behind a table go as soon as it is written.
+
     ``clear`` removes all but those that are named; a job calls it once its result is written.
     """
 
@@ -89,7 +104,8 @@ class Scratch:
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again."""
         path = f"{self.path}/{next(self.number):04d}"
-        df.write.parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self.written[id(found)] = path
         self.held.append(found)
