@@ -37,7 +37,7 @@ from quarry.session import Scratch, small_batches
 
 WORDS, BANDS, MINIMA, RADIUS = 5, 24, 5, 24
 #: Members, and shingles of all members, of a shelf that one task searches.
-SHELF_ROWS, SHELF_SHINGLES = 1_000, 1 << 22
+SHELF_ROWS, SHELF_SHINGLES = 2_000, 1 << 22
 LEADERS, DEEPEST = 2, 8
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -159,16 +159,19 @@ def _differ() -> Column:
 
 
 def _rooted(work: Scratch, placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` (key, node, fp, size, root) with the roots of components under all links so far.
-
-    Shelves of one component go, and all but one of those with the same members.
-    """
+    """``placed`` (key, node, fp, size) with the root of each node's component under all links so far."""
     roots = connected_components(links).toDF("member", "top")
-    placed = placed.join(roots, F.col("node") == F.col("member"), "left").select("key", "node", "fp", "size", F.coalesce("top", "node").alias("root"))
-    placed = work.put(placed)
-    about = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    mixed = work.put(about.filter("lo < hi").groupBy("who").agg(F.min("key").alias("key")).select("key"))
-    return work.put(placed.join(mixed, "key", "left_semi"))
+    found = placed.join(roots, F.col("node") == F.col("member"), "left")
+    return work.put(found.select("key", "node", "fp", "size", F.coalesce("top", "node").alias("root")))
+
+
+def _mixed(work: Scratch, placed: DataFrame) -> DataFrame:
+    """Shelves of several components, of those with the same members one, and whether they are large."""
+    about = placed.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.count("*").alias("n"), F.sum("size").alias("all")
+    )
+    large = (F.col("n") > SHELF_ROWS) | (F.col("all") > SHELF_SHINGLES)
+    return work.put(about.filter("lo < hi").groupBy("who").agg(F.min(F.struct("key", large.alias("large"))).alias("m")).select("m.*"))
 
 
 def _links(work: Scratch, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -187,12 +190,12 @@ def _links(work: Scratch, nodes: DataFrame, docs: DataFrame) -> DataFrame:
             found = _verified(work, work.put(pairs.distinct()), sets)
             links = links.union(found)
             placed = _rooted(work, placed, links)
-        loads = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
-        large = F.lit(False) if depth == DEEPEST else (F.col("n") > SHELF_ROWS) | (F.col("all") > SHELF_SHINGLES)
-        loads = work.put(loads.select("key", large.alias("large")))
-        held = placed.join(loads.filter("not large"), "key", "left_semi").join(sets, "node")
+        mixed = _mixed(work, placed)
+        if depth == DEEPEST:
+            mixed = mixed.withColumn("large", F.lit(False))
+        held = placed.join(mixed.filter("not large").select("key"), "key", "left_semi").join(sets, "node")
         links = links.union(work.put(held.select("key", "node", "fp", "root", "set").groupBy("key").applyInPandas(_across, "a long, b long").distinct()))
-        rest = work.put(placed.join(loads.filter("large"), "key", "left_semi"))
+        rest = work.put(placed.join(mixed.filter("large").select("key"), "key", "left_semi"))
         if rest.isEmpty():
             return links
         keys = work.put(rest.select("node").distinct().join(sets, "node").select("node", _deeper(depth + 1)("set").alias("keys")))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.components import connected_components
+from quarry.llm.components import connected_components, merge_labels
 from quarry.session import cut, small_batches, table
 
 NAME = "op7_simhash"
@@ -125,18 +125,6 @@ class GrayTree:
         return q[who], node
 
 
-def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least label over the links a-b, and over all links merged before."""
-    while True:
-        la, lb = label[a], label[b]
-        if np.array_equal(la, lb):
-            return label
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        np.minimum.at(label, high, low)
-        while not np.array_equal(label, up := label[label]):
-            label = up
-
-
 def _search(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
