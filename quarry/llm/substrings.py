@@ -15,19 +15,23 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
    order of what stands to its left tells the same for that side; a string that agrees on both sides
    with another is repeated. This is exact; hashes only choose anchors.
 
-An anchor that occurs over ``HOT`` times is not gathered in one task: the strings at it are counted by
-128-bit fingerprints instead, a grouped count over all tasks.
+An anchor of over ``HOT`` occurrences is not gathered in one task. Of a string with l bytes before the
+anchor, l from lo to hi, at least lo bytes on the left and a number on the right are known to agree with
+its copies, so suffixes are dealt out by these bytes; equal contexts, cut to what such strings can reach,
+are answered by a grouped count and one of them goes on. What is still too much is halved: lo to the
+middle, and the rest. For a single l the bytes are the whole string, of which one is left. Everything is
+compared byte by byte, and what is small enough takes the way above.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than ``length`` lose
 none; strings never cross documents; rows with equal doc_id and text are documents of their own, so
-their strings occur twice; rows are returned as often as they come; an empty table gives no rows.
+their strings occur twice; rows are returned as often as they come; very long texts are read whole;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,18 +39,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import shared_dir, small_batches, table
+from quarry.session import Scratch, small_batches, table
 
 NAME = "op9_repeated_substrings"
 SQL = None
 
 LENGTH, GRAIN = 400, 200
-#: Occurrences of an anchor that one task may gather.
+#: Contexts of an anchor that one task may gather.
 HOT = 200_000
 #: Suffixes for one task to merge.
 TASK_SUFFIXES = 40_000
 _FLUSH = 48 << 20  # bytes of contexts that a task holds before it writes runs
-_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,9 +72,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def rolling(b: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
+def rolling(b: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes at each place."""
-    power, back = _tables(base, len(b) + 1)
+    power, back = _tables(_BASE, len(b) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
     return _mix((sums[size:] - sums[:-size]) * back[: len(b) - size + 1])
 
@@ -227,45 +231,105 @@ _RUN = "bucket long, shared binary, rest binary, before binary, after binary, le
 _SPAN = "d long, t long, start long, stop long"
 
 
-def _make_runs(length: int, grain: int, buckets: int):
-    """Contexts of a task: spans that are answered here (bucket -1) and sorted, front-coded runs."""
-    reach = length - grain
-
-    def flush(held: dict) -> Iterator[pd.DataFrame]:
-        spans, sent, zip_ = [], {}, zstandard.ZstdCompressor(level=1)
-        for (lead, suffix, bucket), owners in held.items():
-            if len(owners) > 1 and len(lead) + len(suffix) >= length:
-                spans += [(d, t, at - len(lead), at + len(suffix)) for d, t, at in owners]
-                owners = [(0, 0, -1)]  # answered, but others may equal parts of it
-            sent.setdefault(bucket, []).extend((suffix, lead, o) for o in owners)
-        rows = []
-        for bucket, items in sent.items():
-            items.sort(key=lambda x: x[0])
-            shared, rest = front_code([s for s, _, _ in items])
-            rows.append((bucket, shared.tobytes(), zip_.compress(rest), np.array([len(x[1]) for x in items], np.uint16).tobytes(), np.array([len(x[0]) for x in items], np.uint16).tobytes(), zip_.compress(b"".join(x[1] for x in items)), np.array([x[2] for x in items], np.int64).tobytes()))
-        if spans:
-            rows.append((-1, b"", b"", b"", b"", b"", np.array(spans, np.int64).tobytes()))
-        if rows:
-            yield pd.DataFrame(rows, columns=["bucket", "shared", "rest", "before", "after", "lead", "owner"])
+def _flush(held: dict, length: int) -> Iterator[pd.DataFrame]:
+    """Contexts (lead, suffix, bucket) with their owners as spans that are answered and runs for the rest."""
+    spans, sent, zip_ = [], {}, zstandard.ZstdCompressor(level=1)
+    for (lead, suffix, bucket), owners in held.items():
+        if len(owners) > 1 and len(lead) + len(suffix) >= length:
+            spans += [(d, t, at - len(lead), at + len(suffix)) for d, t, at in owners if at >= 0]
+            owners = [(0, 0, -1)]  # answered, but others may equal parts of it
+        sent.setdefault(bucket, []).extend((suffix, lead, o) for o in owners)
+    rows = []
+    for bucket, items in sent.items():
+        items.sort(key=lambda x: x[0])
+        shared, rest = front_code([s for s, _, _ in items])
+        rows.append((bucket, shared.tobytes(), zip_.compress(rest), np.array([len(x[1]) for x in items], np.uint16).tobytes(), np.array([len(x[0]) for x in items], np.uint16).tobytes(), zip_.compress(b"".join(x[1] for x in items)), np.array([x[2] for x in items], np.int64).tobytes()))
+    if spans:
+        rows.append((-1, b"", b"", b"", b"", b"", np.array(spans, np.int64).tobytes()))
+    if rows:
+        yield pd.DataFrame(rows, columns=["bucket", "shared", "rest", "before", "after", "lead", "owner"])
+
+
+def _make_runs(length: int, contexts):
+    """Contexts of a task: spans that are answered here (bucket -1) and sorted, front-coded runs.
+
+    contexts: yields (lead, suffix, bucket), owner for a batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0
         for b in batches:
-            for d, t, text, places, hashes in zip(b["d"], b["t"], b["text"], b["places"], b["hashes"], strict=True):
-                raw = _bytes(text)
-                for at, h in zip(np.asarray(places).tolist(), np.asarray(hashes).tolist(), strict=True):
-                    context = (raw[max(0, at - reach) : at], raw[at : at + length], h % buckets)
-                    owners = held.setdefault(context, [])
-                    size += 64 if owners else length + reach + 300
-                    owners.append((d, t, at))
+            for context, owner in contexts(b):
+                owners = held.setdefault(context, [])
+                size += 64 if owners else len(context[0]) + len(context[1]) + 300
+                owners.append(owner)
                 if size > _FLUSH:
-                    yield from flush(held)
+                    yield from _flush(held, length)
                     held, size = {}, 0
-        yield from flush(held)
+        yield from _flush(held, length)
+
+    return run
+
+
+def _in_texts(length: int, reach: int, buckets: int):
+    def contexts(b: pd.DataFrame) -> Iterator[tuple]:
+        for d, t, text, places, hashes in zip(b["d"], b["t"], b["text"], b["places"], b["hashes"], strict=True):
+            raw = _bytes(text)
+            for at, h in zip(np.asarray(places).tolist(), np.asarray(hashes).tolist(), strict=True):
+                yield (raw[max(0, at - reach) : at], raw[at : at + length], h % buckets), (d, t, at)
+
+    return contexts
+
+
+def _in_rows(buckets: int):
+    def contexts(b: pd.DataFrame) -> Iterator[tuple]:
+        for key, left, right, d, t, at in zip(b["key"], b["left"], b["right"], b["d"], b["t"], b["at"], strict=True):
+            yield (left, right, key % buckets), (d, t, at)
+
+    return contexts
+
+
+def _expand(length: int, reach: int):
+    """A row for each context at given anchors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, d, t, at, left, right) for ((left, right, h), (d, t, at)) in _in_texts(length, reach, 1 << 64)(b)]
+            frame = pd.DataFrame(rows, columns=["h", "d", "t", "at", "left", "right"])
+            yield frame.assign(h=frame["h"].astype(np.uint64).to_numpy().view(np.int64), lo=0, hi=reach)
 
     return run
 
 
+_HOT_ROW = "h long, lo int, hi int, left binary, right binary, d long, t long, at int"
+
+
+def _split_hot(work: Scratch, rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans answered by counts, and contexts (key, left, right, d, t, at) of keys of at most HOT each."""
+    spans, small = [], []
+    while True:
+        known = F.xxhash64("h", "lo", "hi", F.expr("substring(left, length(left) - lo + 1, lo)"), F.expr(f"substring(right, 1, {length} - hi)"))
+        cut_left, cut_right = F.expr("if(length(left) > hi, substring(left, length(left) - hi + 1, hi), left)"), F.expr(f"substring(right, 1, {length} - lo)")
+        rows = rows.filter(f"length(left) >= lo and length(right) >= {length} - hi")
+        rows = work.put(rows.select(known.alias("key"), "h", "lo", "hi", cut_left.alias("left"), cut_right.alias("right"), "d", "t", "at"))
+        same = ["key", "h", "lo", "hi", "left", "right"]
+        counts = work.put(rows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at")).alias("own")))
+        twice = work.put(counts.filter(f"n > 1 and length(left) + length(right) >= {length}").select(*same))
+        place = F.col("at").cast("long")
+        spans.append(rows.filter("at >= 0").join(twice, same, "left_semi").select("d", "t", (place - F.length("left")).alias("start"), (place + F.length("right")).alias("stop")))
+        none = F.col("n") > 1
+        alone = lambda c: F.when(none, F.lit(-1)).otherwise(F.col(f"own.{c}")).alias(c)  # noqa: E731, B023
+        left = counts.select(*same, alone("d"), alone("t"), alone("at").cast("int").alias("at"))
+        large = work.put(counts.groupBy("key").count().filter(F.col("count") > HOT).select("key"))
+        small.append(left.join(large, "key", "left_anti").select("key", "left", "right", "d", "t", "at"))
+        if large.isEmpty():
+            return reduce(DataFrame.union, spans), reduce(DataFrame.union, small)
+        left = left.join(large, "key", "left_semi")
+        half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo").alias("lo"), half.alias("hi")), F.struct((half + 1).alias("lo"), F.col("hi").alias("hi")))
+        rows = left.withColumn("part", F.explode(halves)).select("h", "part.lo", "part.hi", "left", "right", "d", "t", "at")
+
+
 def _merge(length: int, grain: int, batch: int = 4096):
     reach = length - grain
 
@@ -312,23 +376,6 @@ def _merge(length: int, grain: int, batch: int = 4096):
     return run
 
 
-def _prints(length: int, grain: int):
-    """Fingerprints of the strings at given anchors, one row each."""
-    reach = length - grain
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for d, t, text, places in zip(b["d"], b["t"], b["text"], b["places"], strict=True):
-                raw = np.frombuffer(_bytes(text), np.uint8)
-                at = np.asarray(places, np.int64)
-                starts = np.unique((at[:, None] - np.arange(reach + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + length <= len(raw))]
-                one, two = rolling(raw, length)[starts].view(np.int64), rolling(raw, length, _OTHER)[starts].view(np.int64)
-                yield pd.DataFrame({"a": one, "b": two, "d": d, "t": t, "start": starts})
-
-    return run
-
-
 def _cover(length: int):
     """Bytes removed, spans and the rest of each text."""
 
@@ -350,49 +397,43 @@ def _cover(length: int):
     return run
 
 
-def _stash(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again; shuffles of finished steps may then be cleaned."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/substrings-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """Rows d, t (doc_id and hash of the text), start, stop of bytes that repeated strings cover."""
+    """Rows d, t (doc_id and hash of the text), spans: (start, stop) of bytes that repeated strings cover."""
     spark = docs.sparkSession
     small_batches(spark)
+    work, reach = Scratch(spark, "substrings"), length - grain
     keyed = _key(docs)
-    found = _stash(keyed.mapInPandas(_find_anchors(length, grain), "h long, d long, t long, at int"), "anchors")
+    found = work.put(keyed.mapInPandas(_find_anchors(length, grain), "h long, d long, t long, at int"))
     # written first: Spark then splits a frequent anchor's rows in the join, which it does not do above
     # an aggregate
-    counts = _stash(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
-    places = found.join(counts, "h").groupBy("d", "t").agg(
-        F.collect_set(F.when(F.col("n") <= HOT, F.struct("at", "h"))).alias("cool"), F.collect_set(F.when(F.col("n") > HOT, F.col("at"))).alias("hot")
+    counts = work.put(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    places = work.put(
+        found.join(counts, "h")
+        .groupBy("d", "t")
+        .agg(F.collect_set(F.when(F.col("n") <= HOT, F.struct("at", "h"))).alias("cool"), F.collect_set(F.when(F.col("n") > HOT, F.struct("at", "h"))).alias("hot"))
     )
-    places = _stash(places, "places")
+    work.drop(found, counts)
     total, hot = places.agg(F.sum(F.size("cool")), F.sum(F.size("hot"))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TASK_SUFFIXES + 1)
     texts = keyed.join(places, ["d", "t"])
-    cool = texts.filter(F.size("cool") > 0).select("d", "t", "text", F.col("cool.at").alias("places"), F.col("cool.h").alias("hashes"))
-    runs = _stash(cool.mapInPandas(_make_runs(length, grain, buckets), _RUN), "runs")
+    at = lambda kind: texts.filter(F.size(kind) > 0).select("d", "t", "text", F.col(f"{kind}.at").alias("places"), F.col(f"{kind}.h").alias("hashes"))
+    runs = work.put(at("cool").mapInPandas(_make_runs(length, _in_texts(length, reach, buckets)), _RUN))
     answered = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("owner"), F.lit(buckets))).otherwise(F.col("bucket"))
-    spans = runs.withColumn("bucket", answered).groupBy("bucket").applyInPandas(_merge(length, grain), _SPAN)
+    merged = lambda runs: runs.withColumn("bucket", answered).groupBy("bucket").applyInPandas(_merge(length, grain), _SPAN)
+    spans = merged(runs)
     if hot:
-        strings = texts.filter(F.size("hot") > 0).select("d", "t", "text", F.col("hot").alias("places"))
-        prints = _stash(strings.mapInPandas(_prints(length, grain), "a long, b long, d long, t long, start long"), "prints")
-        twice = _stash(prints.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "twice")
-        spans = spans.union(prints.join(twice, ["a", "b"], "left_semi").select("d", "t", "start", (F.col("start") + length).alias("stop")))
+        counted, contexts = _split_hot(work, at("hot").mapInPandas(_expand(length, reach), _HOT_ROW), length)
+        contexts = work.put(contexts)
+        buckets = max(buckets, contexts.count() // TASK_SUFFIXES + 1)
+        spans = spans.union(counted).union(merged(work.put(contexts.mapInPandas(_make_runs(length, _in_rows(buckets)), _RUN))))
+    spans = Scratch(spark, "spans").put(spans.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans")))
+    work.clear()
     return spans
 
 
 def remove_repeated(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each row of ``docs``."""
-    spans = repeated_spans(docs, length, grain).groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = _stash(spans, "spans")
-    rows = _key(docs).join(spans, ["d", "t"], "left")
+    rows = _key(docs).join(repeated_spans(docs, length, grain), ["d", "t"], "left")
     rows = rows.select(F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id"), "text", "spans")
     return rows.mapInPandas(_cover(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
