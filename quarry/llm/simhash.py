@@ -8,32 +8,34 @@ task takes some shelves, sorts their fingerprints by Gray rank and builds a tree
 upper node holds the bits that all below it share, a lower one only what it adds. A search adds up
 differences from the top and leaves a whole group as soon as they exceed the radius.
 
-Large shelves are split by a hash of the fingerprint; whoever looks there looks into every part. A
-task returns a spanning forest of what it found, never the pairs, and components are joined up in
-``components``.
+Members and lookers of a shelf of too many are dealt anew: of the bits that the shelf does not fix, two
+fingerprints within the radius agree in one of ``radius + 1`` parts, so each goes to as many smaller
+shelves, and so on. After four rounds a shelf fixes all but 18 bits. A task returns a spanning forest of
+what it found, never the pairs, and components are joined up in ``components``.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and is linked like
-any other; a text of fewer words than a shingle is one shingle; repeated rows each come back;
-a null doc_id stays null and is never chosen as component_id unless a group has no other.
+any other; a text of fewer words than a shingle is one shingle; very long texts are read whole;
+repeated rows each come back; other columns are ignored; an empty table gives no rows; a null doc_id stays null and is never chosen as component_id unless a group has no other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components, merge_labels
-from quarry.session import cut, small_batches, table
+from quarry.session import Scratch, small_batches, table
 
 NAME = "op7_simhash"
 SQL = None
 
-#: Fingerprints of one shelf that a task may hold; a shelf of more is split.
+#: Fingerprints of one shelf that a task may hold; a shelf of more is dealt anew.
 SHELF_ROWS = 20_000
 #: Rows for one task of the search.
 TASK_ROWS = 1_000_000
@@ -148,38 +150,59 @@ def _search(radius: int):
     return run
 
 
+def _ones(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+
+
+def _part(bits: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Bits lo to hi, and all the others moved together."""
+    right = lambda n: F.call_function("shiftrightunsigned", bits, n.cast("int"))
+    return right(lo).bitwiseAND(_ones(hi - lo)), F.call_function("shiftleft", right(hi), lo.cast("int")).bitwiseOR(bits.bitwiseAND(_ones(lo)))
+
+
 def _shelved(codes: DataFrame, radius: int) -> DataFrame:
-    """Rows (shelf, fp, member): where a fingerprint lies, and where else it looks."""
+    """Rows (shelf, fp, member, rest, width): where a fingerprint lies, and where else it looks.
+
+    rest: the ``width`` bits of the fingerprint outside the shelf's band.
+    """
     bands = radius // 2 + 1
     edges = [64 * i // bands for i in range(bands + 1)]
-    band = F.array(
-        *(
-            F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("key"), F.lit(hi - lo).alias("n"))
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        )
-    )
-    filed = codes.select("fp", F.explode(band).alias("s")).select("fp", "s.*")
+    structs = []
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        key, rest = _part(F.col("fp"), F.lit(lo), F.lit(hi)) if hi < 64 else (F.shiftrightunsigned("fp", lo), F.col("fp").bitwiseAND((1 << lo) - 1))
+        structs.append(F.struct(F.lit(i).alias("i"), key.alias("key"), F.lit(hi - lo).alias("n"), rest.alias("rest"), F.lit(64 - hi + lo).alias("width")))
+    filed = codes.select("fp", F.explode(F.array(*structs)).alias("s")).select("fp", "s.*")
     flips = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda b: F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-    looks = filed.select("fp", "i", F.explode(F.filter(flips, lambda k: k < F.col("key"))).alias("key"))
-    return filed.select("fp", "i", "key", F.lit(True).alias("member")).union(looks.select("fp", "i", "key", F.lit(False)))
+    places = F.concat(F.array(F.struct(F.col("key").alias("key"), F.lit(True).alias("member"))), F.transform(F.filter(flips, lambda k: k < F.col("key")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("member"))))
+    filed = filed.select("fp", "i", "rest", "width", F.explode(places).alias("p"))
+    return filed.select(F.xxhash64("i", "p.key").alias("shelf"), "fp", "p.member", "rest", "width")
+
+
+def _dealt(work: Scratch, rows: DataFrame, radius: int, rounds: int = 4) -> DataFrame:
+    """``rows``, those of large shelves dealt to smaller ones inside them."""
+    done = []
+    for _ in range(rounds):
+        large = work.put(rows.filter("member").groupBy("shelf").count().filter(F.col("count") > SHELF_ROWS).select("shelf"))
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, "shelf", "left_anti"))
+        at = lambda j: F.floor(F.col("width") * j / (radius + 1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: F.struct(j.alias("j"), at(j).alias("lo"), at(j + 1).alias("hi")))
+        rows = rows.join(large, "shelf", "left_semi").withColumn("s", F.explode(parts))
+        key, rest = _part(F.col("rest"), F.col("s.lo"), F.col("s.hi"))
+        rows = work.put(rows.select(F.xxhash64("shelf", "s.j", key).alias("shelf"), "fp", "member", rest.alias("rest"), (F.col("width") - F.col("s.hi") + F.col("s.lo")).alias("width")))
+    return reduce(DataFrame.union, [*done, rows])
 
 
 def links(codes: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) that join up all fingerprints (distinct, column fp) within the radius."""
     spark = codes.sparkSession
-    rows = cut(_shelved(codes, radius))
-    large = rows.filter("member").groupBy("i", "key").count().filter(F.col("count") > SHELF_ROWS)
-    large = cut(large.select("i", "key", F.ceil(F.col("count") / SHELF_ROWS).cast("int").alias("parts")))
-    if large.isEmpty():
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        rows = rows.join(large, ["i", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts").cast("long")).cast("int")
-        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.withColumn("member", F.col("member") & (F.col("part") == own))
-    rows = rows.select(F.xxhash64("i", "key", "part").alias("shelf"), "fp", "member")
+    work = Scratch(spark, "simhash-links")
+    rows = _dealt(work, work.put(_shelved(codes, radius)), radius).select("shelf", "fp", "member")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // TASK_ROWS + 1)
-    return rows.repartition(tasks, "shelf").mapInPandas(_search(radius), "a long, b long")
+    found = work.put(rows.repartition(tasks, "shelf").mapInPandas(_search(radius), "a long, b long"))
+    work.clear(found)
+    return found
 
 
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -191,12 +214,14 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
             yield pd.Series(np.array([fingerprint(x, words) for x in t], np.uint64).view(np.int64))
 
     small_batches(docs.sparkSession)
-    coded = cut(docs.select("doc_id", code("text").alias("fp")))
-    codes = cut(coded.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    work = Scratch(docs.sparkSession, "simhash")
+    coded = work.put(docs.select("doc_id", code("text").alias("fp")))
+    codes = work.put(coded.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(codes.select("fp"), radius))
-    codes = codes.join(parts, codes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = codes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(codes.select("fp", "root").join(ids, "root").select("fp", "component_id"))
+    # tables before each join, so that Spark splits the rows of a large component or group of copies
+    rooted = work.put(codes.join(parts, codes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = work.put(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = work.put(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return coded.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
