@@ -10,13 +10,16 @@ in at most s - 1; so probing the buckets within these distances meets every code
 What lies within it is ranked by the inner product of the original vectors in double precision.
 
 All rows are indexed, in blocks of bounded size; a block of queries meets each block of rows in one
-task, which returns at most k rows a query. Queries that find fewer than k rows (and than there are)
-search again with a larger radius.
+task, which returns at most k rows a query. So each row is sent once for ``BLOCK_QUERIES`` queries, and
+each query once for ``BLOCK_ROWS`` rows: where queries are a fixed share of the rows, this traffic, like
+the work itself, grows with their product. Dealing rows by substring instead would not change that: with
+a radius near half the bits a query probes a fixed share of all buckets. Queries that find fewer than k
+rows (and than there are) search again with a larger radius.
 
 Defined cases: a vector that is null, empty, zero, or holds a null, NaN or infinite component takes no
 part, nor does one whose length differs from that of most rows (ties: the shorter) or whose vec_id is
-null; of rows that share a vec_id one takes part; ties go to the smaller vec_id; an empty table gives
-no rows.
+null; queries are rows that take part; of rows that share a vec_id the one of the least vector takes
+part; ties go to the smaller vec_id; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,18 +29,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.session import cut, table
+from quarry.session import Scratch, table
 
 NAME = "op3_nearest"
 SQL = None
 
 PARTS = 8
-BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 2_048
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 8_192
+#: Components of the vectors in a block at most: fewer rows where vectors are long.
+BLOCK_VALUES = 1 << 22
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NEAR = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
 
@@ -145,17 +149,19 @@ def usable(vectors: DataFrame) -> DataFrame:
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
         return rows
-    return rows.filter(F.size("embedding") == length["n"]).dropDuplicates(["vec_id"])
+    return rows.filter(F.size("embedding") == length["n"]).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, min_radius: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of ``queries``.
+def nearest(vectors: DataFrame, asks: Column, k: int = 20, sample: int = 20_000, min_radius: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row that takes part and whose vec_id
+    makes ``asks`` true.
 
     ``sample``: rows that the codes are learned on (about; chosen by a hash of vec_id).
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors))
-    asked = cut(usable(queries))
+    work = Scratch(spark, "neighbours-found")
+    rows = Scratch(spark, "neighbours").put(usable(vectors))
+    asked = rows.filter(asks)
     n, m = rows.count(), asked.count()
     names = "query_id long, rank int, vec_id long, score double"
     if not n or not m:
@@ -167,7 +173,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 2
     learned = np.array([r["embedding"] for r in picked] or [rows.first()["embedding"]])
     codes = Codes.learn(learned, top, k)
 
-    blocks, lots = -(-n // BLOCK_ROWS), -(-m // BLOCK_QUERIES)
+    most = max(1, BLOCK_VALUES // learned.shape[1])
+    blocks, lots = -(-n // min(BLOCK_ROWS, most)), -(-m // min(BLOCK_QUERIES, most))
     spread = lambda df, own, parts, other, times: df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     indexed = spread(rows, "b", blocks, "q", lots).withColumn("q", F.col("q").cast("long"))
     found, radius, left = None, min_radius or codes.radius, asked
@@ -175,10 +182,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 2
         here = spread(left, "q", lots, "b", blocks).withColumn("b", F.col("b").cast("long")).withColumn("radius", F.lit(radius))
         got = indexed.groupBy("b", "q").cogroup(here.groupBy("b", "q")).applyInPandas(_search(codes, k), "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        got = cut(got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        got = work.put(got.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
         full = got.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select("query_id")
         if radius < 64:
-            short = cut(left.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
+            short = work.put(left.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"))
             more = not short.isEmpty()
         else:
             more = False
@@ -191,4 +198,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 2
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.filter("vec_id % 20 = 0"))
+    return nearest(rows, F.col("vec_id") % 20 == 0)
