@@ -2,18 +2,21 @@
 
 A list entry is a host followed by the beginning of a path (``com/en/``, ``example.com``). A url
 holds an entry if the host is the entry's or one of its subdomains and the path begins with the
-entry's. So each url has a few candidate keys: every suffix of its host with every prefix of its path
-of a length that occurs in the list.
+entry's. So each url has a few candidate keys: the suffixes of its host of a number of labels that
+occurs in the list, each with the prefixes of its path of a length that occurs there.
 
 Level 1 of the cascade is a Bloom filter of the listed keys. Over the complete key universe of the
 corpus, level 2 encodes the keys that level 1 takes wrongly, level 3 those listed keys that level 2
 takes wrongly, and so on until none is left. For keys of that universe the level at which a key first
 falls out tells exactly whether it is listed, so urls are judged by bit tests alone, with no join.
-The universe is joined to the list once, to build the levels. Filters above ``MAX_BYTES`` are not
-sent to executors: then listed keys are looked up by an equi-join.
+The universe is joined to the list once, to build the levels. A list whose filters would exceed
+``MAX_BYTES`` is dealt by a hash into parts, each with a cascade of its own; urls then pass one part
+after another, so no task holds more than one part's filters, and there is still no join.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, holds no entry and is
-allowed; repeated rows each come back; an empty list allows everything; null entries are ignored.
+allowed; very long urls have no more candidate keys than short ones; repeated rows each come back; an
+empty list allows everything; null entries are ignored; extra columns pass through, but host, path, rule,
+verdict and listed replace columns of these names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import cut, table
+from quarry.session import Scratch, table
 
 NAME = "op2_url_filter"
 
@@ -37,6 +40,7 @@ BLOCK_LIST = tuple(f"{name}.example.{top}" for name in UNWANTED for top in ("com
 
 #: Bytes of all levels that may be sent to every executor.
 MAX_BYTES = 64 << 20
+_STRETCH = 1 << 19  # bits of a filter that one task sets
 
 
 def host_of(url: Column) -> Column:
@@ -53,10 +57,11 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length(path)), lambda n: F.substr(path, F.lit(1), n))
+def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
+    parts = F.split(host, r"\.")
+    fitting = lambda numbers, most: F.filter(F.array(*map(F.lit, numbers)), lambda n: n <= most)
+    suffixes = F.transform(fitting(labels, F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+    heads = F.transform(fitting(lengths, F.char_length(path)), lambda n: F.substr(path, F.lit(1), n))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda h: F.concat(s, h)))))
 
 
@@ -64,6 +69,12 @@ def _hashed(keys: DataFrame) -> DataFrame:
     return keys.select("key", F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
 
 
+def _set_bits(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(_STRETCH, np.uint8)
+    bits[rows["bit"].to_numpy()] = 1
+    return pd.DataFrame({"c": rows["c"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: ``bits`` words of 64, ``n`` probes."""
@@ -75,14 +86,14 @@ class Level:
 
     @classmethod
     def of(cls, keys: DataFrame, count: int, rate: float, depth: int) -> Level:
-        """The filter of ``keys`` (key, h1, h2); made by grouped OR, one row per word of it."""
+        """The filter of ``keys`` (key, h1, h2): tasks set the bits of a stretch each, whose bytes are collected."""
         size = max(64, math.ceil(count * math.log(1 / rate) / math.log(2) ** 2))
         n = max(1, round(math.log2(1 / rate)))
         spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(_spot(depth, i), F.lit(size).cast("long")))
-        rows = keys.select(F.explode(spots).alias("s")).select(F.floor(F.col("s") / 64).cast("long").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int")).alias("b"))
-        words = np.zeros(-(-size // 64), np.uint64)
-        for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-            words[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+        rows = keys.select(F.explode(spots).alias("s")).select(F.floor(F.col("s") / _STRETCH).cast("long").alias("c"), (F.col("s") % _STRETCH).cast("int").alias("bit"))
+        words = np.zeros(-(-size // _STRETCH) * _STRETCH // 64, np.uint64)
+        for r in rows.groupBy("c").applyInPandas(_set_bits, "c long, bits binary").collect():
+            words.view(np.uint8)[r["c"] * (_STRETCH // 8) :][: _STRETCH // 8] = np.frombuffer(r["bits"], np.uint8)
         return cls(words, size, n, depth)
 
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -106,6 +117,10 @@ def _spot(depth: int, i: Column) -> Column:
     return F.shiftright(h1.bitwiseXOR(F.shiftright(h2, up)), 2) + i.cast("long") * F.shiftright(h2.bitwiseXOR(F.shiftright(h1, down)), 8)
 
 
+def _first_rate(n: int, m: int) -> float:
+    return min(0.5, max(1e-6, n * math.sqrt(0.5) / max(m, 1)))
+
+
 @dataclass(frozen=True)
 class Cascade:
     levels: list[Level]
@@ -115,22 +130,19 @@ class Cascade:
         return sum(x.words.nbytes for x in self.levels)
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, deepest: int = 60) -> Cascade | None:
-        """Both have distinct keys in column ``key``. None: the filters exceed MAX_BYTES."""
-        inside = cut(_hashed(listed))
-        outside = cut(_hashed(universe.join(listed, "key", "left_anti")))
-        n, m = inside.count(), outside.count()
-        levels: list[Level] = []
-        rate = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(m, 1)))
+    def build(cls, listed: DataFrame, outside: DataFrame, n: int, m: int, deepest: int = 60) -> Cascade:
+        """listed: n keys; outside: m keys of the universe that are not listed; both distinct and hashed."""
+        work = Scratch(listed.sparkSession, "cascade")
+        inside, levels = listed, []
+        rate = _first_rate(n, m)
         while n:
-            if n * math.log(1 / rate) / math.log(2) ** 2 / 8 + sum(x.words.nbytes for x in levels) > MAX_BYTES:
-                return None
             if len(levels) == deepest:
                 raise RuntimeError("keys of the universe share both hashes")
             level = Level.of(inside, n, rate, len(levels))
             levels.append(level)
-            wrong = cut(outside.filter(_bit_test([level])("h1", "h2")))
+            wrong = work.put(outside.filter(_bit_test([level])("h1", "h2")))
             inside, outside, n, rate = wrong, inside, wrong.count(), 0.5
+        work.clear()
         return cls(levels)
 
     def member(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -170,35 +182,41 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], block_list: DataFrame |
     if not isinstance(block_list, DataFrame):
         block_list = spark.createDataFrame([(x,) for x in block_list], "key string")
     listed = block_list.select("key").union(spark.createDataFrame([(k,) for k in rules], "key string")).filter("key is not null").distinct()
-    listed = cut(listed)
+    work = Scratch(spark, "urls")
+    listed = work.put(_hashed(listed))
     slash = F.instr("key", "/")
-    lengths = sorted(r[0] for r in listed.select(F.when(slash > 0, F.char_length("key") - slash + 1).otherwise(0)).distinct().collect()) or [0]
+    head = F.when(slash > 0, F.substr("key", F.lit(1), slash - 1)).otherwise(F.col("key"))
+    about = listed.select(F.when(slash > 0, F.char_length("key") - slash + 1).otherwise(0).alias("length"), F.size(F.split(head, r"\.")).alias("labels"))
+    lengths, labels = (sorted(r[0] for r in about.select(c).distinct().collect()) for c in ("length", "labels"))
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
-    sites = rows.select("host", "path").distinct()
-    universe = sites.select(F.explode_outer(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key")).filter("key is not null").distinct()
-    cascade = Cascade.build(listed, universe)
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
-    if cascade is not None:
-        rows = rows.withColumn("_keys", keys)
-        flags = _members(cascade)(F.transform("_keys", lambda k: F.xxhash64(k, F.lit(1))), F.transform("_keys", lambda k: F.xxhash64(k, F.lit(2))))
-        rows = rows.withColumn("_in", flags)
-        rows = rows.withColumn("listed", F.filter("_keys", lambda k, i: F.get(F.col("_in"), i))).drop("_keys", "_in")
-    else:
-        wide = sites.withColumn("key", F.explode_outer(keys)).join(listed, "key", "left_semi")
-        held = wide.groupBy("host", "path").agg(F.collect_set("key").alias("listed"))
-        rows = rows.join(held, ["host", "path"], "left").withColumn("listed", F.coalesce("listed", F.array().cast("array<string>")))
+    keys = candidate_keys(F.col("host"), F.col("path"), labels or [0], lengths or [0])
+    universe = rows.select("host", "path").distinct().select(F.explode_outer(keys).alias("key")).filter("key is not null").distinct()
+    outside = work.put(_hashed(universe.join(listed, "key", "left_anti")))
+    n, m = listed.count(), outside.count()
+    # the first level, and as much again for all others
+    parts = -(-int(2 * n * math.log(1 / _first_rate(n, m)) / math.log(2) ** 2 / 8) // MAX_BYTES) or 1
+    rows = rows.withColumn("keys", keys).withColumn("listed", F.array().cast("array<string>"))
+    own = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(parts))
+    for part in range(parts):
+        mine, others = (df if parts == 1 else work.put(df.filter(own == part)) for df in (listed, outside))
+        cascade = Cascade.build(mine, others, mine.count(), others.count())
+        here = F.col("keys") if parts == 1 else F.filter("keys", lambda k: F.pmod(F.xxhash64(k, F.lit(3)), F.lit(parts)) == part)  # noqa: B023
+        rows = rows.withColumn("here", here)
+        flags = _members(cascade)(F.transform("here", lambda k: F.xxhash64(k, F.lit(1))), F.transform("here", lambda k: F.xxhash64(k, F.lit(2))))
+        rows = rows.withColumn("found", flags).withColumn("listed", F.concat("listed", F.filter("here", lambda k, i: F.get(F.col("found"), i))))
+        rows = rows.drop("found", "here") if parts == 1 else work.put(rows.drop("found", "here"))
     if rules:
         known = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
         fits = F.filter("listed", lambda k: F.map_contains_key(known, k))
         longest = F.array_max(F.transform(fits, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("k"))))
-        rows = rows.withColumn("rule", longest["k"]).withColumn("_said", F.try_element_at(known, F.col("rule")))
+        rows = rows.withColumn("rule", longest["k"]).withColumn("said", F.try_element_at(known, F.col("rule")))
     else:
-        rows = rows.withColumn("rule", F.lit(None).cast("string")).withColumn("_said", F.lit(None).cast("string"))
-    own = F.when(F.size("listed") > 0, "block").otherwise("allow")
-    return rows.withColumn("verdict", F.coalesce("_said", own)).select(*kept, "host", "path", "rule", "verdict", "listed")
+        rows = rows.withColumn("rule", F.lit(None).cast("string")).withColumn("said", F.lit(None).cast("string"))
+    without = F.when(F.size("listed") > 0, "block").otherwise("allow")
+    return rows.withColumn("verdict", F.coalesce("said", without)).select("row.*", "host", "path", "rule", "verdict", "listed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
