@@ -10,8 +10,8 @@ repeated.
 The k-th greatest key is found by counting keys in ever finer bins; no task sorts the corpus.
 
 Defined cases: null and empty texts have no n-grams and a log-weight of 0; rows that repeat a doc_id
-have the same noise, and where the k-th place falls among equal rows any of them are taken; a null
-doc_id counts as -1 for the noise; without target texts all log-weights are 0; an empty table gives no
+have the same noise, and where the k-th place falls among equal rows as many of them are taken as are
+left; a null doc_id counts as -1 for the noise; very long texts are read whole; other columns are ignored; without target texts all log-weights are 0; an empty table gives no
 rows.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.session import cut, small_batches, table
 
@@ -92,7 +93,10 @@ def bag_model(texts: DataFrame) -> np.ndarray:
 
 
 def take_greatest(rows: DataFrame, k: int, key: str, bins: int = 4096, few: int = 500) -> DataFrame:
-    """The k rows of the greatest ``key`` (finite doubles; ties: smaller doc_id)."""
+    """The k rows of the greatest ``key`` (finite doubles; ties: smaller doc_id, then the other columns).
+
+    Of equal rows only their number is gathered, however many there are.
+    """
     low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
     if k >= n or k <= 0:
         return rows if k > 0 else rows.limit(0)
@@ -108,7 +112,10 @@ def take_greatest(rows: DataFrame, k: int, key: str, bins: int = 4096, few: int
             left -= n
         sure.append(here.filter(at > b))
         here, low, high = here.filter(at == b), lo, hi
-    out = here.orderBy(F.desc(key), "doc_id").limit(left)
+    equal = here.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    before = Window.orderBy(F.desc(key), "doc_id", *rows.columns).rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("taken", F.least("copies", F.lit(left) - F.coalesce(F.sum("copies").over(before), F.lit(0)))).filter("taken > 0")
+    out = equal.select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("taken").cast("int"))).alias("copy")).drop("copy")
     for part in sure:
         out = out.union(part)
     return out
