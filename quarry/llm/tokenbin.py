@@ -15,7 +15,8 @@ tokenizer's pieces never hold white space and its normaliser works within words,
 ``word_bpe_49k.json``; ``by_word=False`` encodes whole texts.
 
 Defined cases: a null text is an empty one and holds only the end id; a null doc_id comes first;
-rows of one doc_id are ordered by a hash of their text; an empty table has no files and no rows.
+rows of one doc_id are ordered by a hash of their text; very long texts are encoded whole, a frame each;
+other columns are ignored, whatever their names; an empty table has no files and no rows.
 """
 
 from __future__ import annotations

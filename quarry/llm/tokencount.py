@@ -10,8 +10,9 @@ bytes where the vocabulary has byte pieces, else each run of them counts as one.
 one is put in front of a text that has none there, and each begins a new word. Words are scored once
 per worker and looked up afterwards.
 
-Defined cases: null texts count as empty ones (no tokens); repeated rows each come back; a null doc_id
-is kept; an empty table gives no rows.
+Defined cases: null texts count as empty ones (no tokens); very long texts are read whole; repeated rows
+each come back; a null doc_id is kept; other columns pass through, but one named like the new column is
+replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
