@@ -24,6 +24,12 @@ def postings(tokened: DataFrame) -> DataFrame:
     return tokened.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
 
 
+def postings_with_length(tokened: DataFrame) -> DataFrame:
+    """Postings that carry their document's length, so that ranking joins nothing to them."""
+    rows = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    return rows.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("term", "doc_id", "tf", "dl")
+
+
 def postings_of(tokened: DataFrame, terms: list[str]) -> DataFrame:
     """Postings of a few terms with the document's length; other tokens never leave the map side."""
     wanted = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
@@ -52,29 +58,33 @@ def expand_prefix(terms: DataFrame, prefix: str, most: int = PREFIX_TERMS) -> Da
 
 @dataclass(frozen=True)
 class Index:
-    """Tables of a built index; in files, postings are range-partitioned and sorted by term."""
+    """Tables of a built index; in files, postings and terms are range-partitioned and sorted by term.
+
+    postings: term, doc_id, tf, dl; documents: all but the text, token_count; terms: term, df;
+    stats: one row (``corpus_stats``).
+    """
 
     postings: DataFrame
     documents: DataFrame
     terms: DataFrame
+    stats: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, text: str = "text") -> Index:
         tokened = with_tokens(docs, text)
-        post = postings(tokened)
+        post = postings_with_length(tokened)
         lengths = tokened.withColumn("token_count", F.size("tokens")).drop("tokens", text)
-        return cls(post, lengths, document_frequency(post))
+        return cls(post, lengths, document_frequency(post), corpus_stats(lengths))
 
     def save(self, path: str) -> None:
         """Row-group statistics on the sorted terms then stand in for a dictionary."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        by_term = lambda df, *more: df.repartitionByRange("term").sortWithinPartitions("term", *more)
+        by_term(self.postings, "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.documents.write.mode("overwrite").parquet(f"{path}/documents")
         spark = self.postings.sparkSession
-        document_frequency(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+        by_term(document_frequency(spark.read.parquet(f"{path}/postings"))).write.mode("overwrite").parquet(f"{path}/terms")
+        corpus_stats(spark.read.parquet(f"{path}/documents")).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "terms")))
-
-    def stats(self) -> DataFrame:
-        return corpus_stats(self.documents)
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "documents", "terms", "stats")))

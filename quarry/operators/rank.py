@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.index import corpus_stats
-
 K1, B, RRF_K, DEPTH, MAX_HITS = 1.2, 0.75, 60, 200, 1000
 #: Rows of query terms (term, query) that are broadcast; above, the join shuffles.
 BROADCAST_TERMS = 100_000
@@ -32,28 +30,31 @@ def weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: flo
     return idf(df, n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def bm25(hits: DataFrame, lengths: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """doc_id and score. hits: term, doc_id, dl, tf of the distinct query terms only."""
+def bm25(hits: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """doc_id and score. hits: term, doc_id, dl, tf of the distinct query terms only; stats: one row."""
     check_parameters(k1, b)
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(lengths).select("n_docs", "avgdl")  # one row
-    rows = hits.join(F.broadcast(frequency), "term").join(F.broadcast(stats))
+    rows = hits.join(F.broadcast(frequency), "term").join(F.broadcast(stats.select("n_docs", "avgdl")))
     w = weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"), k1, b)
     return rows.groupBy("doc_id").agg(F.round(F.sum(w), 6).alias("score"))
 
 
-def bm25_batch(post: DataFrame, lengths: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, limit: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank for many queries in one job. queries: query_id, term (distinct)."""
+def bm25_batch(post: DataFrame, stats: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, limit: int = 10, terms: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank for many queries in one job.
+
+    post: term, doc_id, tf, dl; stats: one row; queries: query_id, term (distinct); terms: term, df of all
+    terms, where they are stored. Postings meet the queries once, after their own weights are known.
+    """
     check_parameters(k1, b)
     small = queries.count() <= BROADCAST_TERMS
-    asked = F.broadcast(queries) if small else queries
-    terms = queries.select("term").distinct()
-    some = post.join(F.broadcast(terms) if small else terms, "term", "left_semi")
-    frequency = some.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(lengths).select("n_docs", "avgdl")
-    rows = some.join(frequency, "term").join(lengths.select("doc_id", F.col("token_count").alias("dl")), "doc_id").join(F.broadcast(stats))
+    near = F.broadcast if small else (lambda df: df)
+    wanted = queries.select("term").distinct()
+    if terms is None:
+        terms = post.join(near(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    asked = queries.join(terms.select("term", "df"), "term")
+    rows = post.join(near(asked), "term").join(F.broadcast(stats.select("n_docs", "avgdl")))
     w = weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"), k1, b)
-    scored = rows.select("term", "doc_id", w.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
 

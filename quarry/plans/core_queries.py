@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from quarry.operators import store as S
 from quarry.plans.grammar import parse_query
 from quarry.plans.registry import query
 from quarry.plans.search import SearchRequest, search
-from quarry.session import spread, table
+from quarry.session import shared_dir, spread, table
 from quarry.sources import testtables as TT
 from quarry.sources.testtables import ARTIFACTS, EDGES, LINKS, METAS, PENDING, fold_sql, tokens_sql
 from quarry.streaming import events as E
@@ -51,8 +52,21 @@ def _tokened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.with_tokens(TT.artifacts(spark, sf_dir))
 
 
-def _bm25(tokened: DataFrame, terms: list[str]) -> DataFrame:
-    return R.bm25(I.postings_of(tokened, terms), I.document_lengths(tokened))
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """The index over a folder's documents: built and saved once a session, opened by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        I.Index.build(TT.artifacts(spark, sf_dir).select("doc_id", "corpus", "path", "title", "kind", "text")).save(path)
+        _indexes[key] = path
+    return I.Index.open(spark, _indexes[key])
+
+
+def _bm25(index: I.Index, terms: list[str]) -> DataFrame:
+    return R.bm25(index.postings.filter(F.col("term").isin(*terms)), index.stats)
 
 
 # -- tokens and index
@@ -100,21 +114,21 @@ def prefix_expand(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {_bm25_sql(_words(TERMS))} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
-    return R.top(_bm25(_tokened(spark, sf_dir), TERMS), 20)
+    return R.top(_bm25(_index(spark, sf_dir), TERMS), 20)
 
 
 @query("bm25_corpus_filter", f"WITH {_bm25_sql(_words(TERMS))} SELECT s.doc_id, score, path FROM s JOIN d USING (doc_id) WHERE corpus = 'fr' ORDER BY score DESC, s.doc_id LIMIT 20")
 def bm25_corpus_filter(spark, sf_dir):
-    t = _tokened(spark, sf_dir)
-    names = TT.artifacts(spark, sf_dir, text=False).filter("corpus = 'fr'").select("doc_id", "path")
-    return R.top(_bm25(t, TERMS).join(names, "doc_id"), 20)
+    index = _index(spark, sf_dir)
+    names = index.documents.filter("corpus = 'fr'").select("doc_id", "path")
+    return R.top(_bm25(index, TERMS).join(names, "doc_id"), 20)
 
 
 @query("bm25_path_prefix", f"WITH {_bm25_sql(_words(TERMS))} SELECT s.doc_id, score, path FROM s JOIN d USING (doc_id) WHERE starts_with(path, 'src1') ORDER BY score DESC, s.doc_id LIMIT 20")
 def bm25_path_prefix(spark, sf_dir):
-    t = _tokened(spark, sf_dir)
-    names = TT.artifacts(spark, sf_dir, text=False).filter(F.col("path").startswith("src1")).select("doc_id", "path")
-    return R.top(_bm25(t, TERMS).join(names, "doc_id"), 20)
+    index = _index(spark, sf_dir)
+    names = index.documents.filter(F.col("path").startswith("src1")).select("doc_id", "path")
+    return R.top(_bm25(index, TERMS).join(names, "doc_id"), 20)
 
 
 @query(
@@ -122,7 +136,7 @@ def bm25_path_prefix(spark, sf_dir):
     f"WITH {_bm25_sql(_words(TERMS))}, l AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 50) SELECT l.doc_id, score FROM l JOIN d USING (doc_id) WHERE corpus = 'es'",
 )
 def bm25_compat(spark, sf_dir):
-    lane = R.top(_bm25(_tokened(spark, sf_dir), TERMS), 50)
+    lane = R.top(_bm25(_index(spark, sf_dir), TERMS), 50)
     return lane.join(TT.artifacts(spark, sf_dir, text=False).filter("corpus = 'es'").select("doc_id"), "doc_id", "left_semi")
 
 
@@ -132,8 +146,8 @@ def bm25_compat(spark, sf_dir):
 {_bm25_sql("SELECT term FROM x UNION SELECT 'thin'")} SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 20""",
 )
 def bm25_prefix(spark, sf_dir):
-    terms = [r["term"] for r in prefix_expand(spark, sf_dir).collect()]  # 64 at most
-    return R.top(_bm25(_tokened(spark, sf_dir), sorted({*terms, "thin"})), 20)
+    terms = [r["term"] for r in I.expand_prefix(_index(spark, sf_dir).terms, "thin").collect()]  # 64 at most
+    return R.top(_bm25(_index(spark, sf_dir), sorted({*terms, "thin"})), 20)
 
 
 _COS = f"round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {VEC})), 6)"
@@ -158,7 +172,7 @@ fu AS (SELECT doc_id, k.score AS keyword_score, CAST(k.r AS INTEGER) AS keyword_
 
 
 def _fused(spark, sf_dir) -> DataFrame:
-    keyword = R.top(_bm25(_tokened(spark, sf_dir), TERMS), 200)
+    keyword = R.top(_bm25(_index(spark, sf_dir), TERMS), 200)
     near = TT.vectors(spark, sf_dir).join(keyword.select("doc_id"), "doc_id", "left_semi")
     return R.fuse(keyword, R.cosine_lane(near, TT.vector_of(spark, sf_dir, VEC), 200))
 
@@ -174,7 +188,7 @@ _HIT = " OR ".join(f"contains(translate(title, '{T.UPPER}', '{T.LOWER}'), '{w}')
 
 @query("title_boost", f"WITH {_LANES} SELECT doc_id, round(score * CASE WHEN {_HIT} THEN 1.5 ELSE 1.0 END, 6) AS score FROM fu JOIN d USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 50")
 def title_boost(spark, sf_dir):
-    rows = _fused(spark, sf_dir).join(TT.artifacts(spark, sf_dir).select("doc_id", "title"), "doc_id")
+    rows = F.broadcast(_fused(spark, sf_dir)).join(_index(spark, sf_dir).documents.select("doc_id", "title"), "doc_id")
     return R.top(rows.select("doc_id", F.round(R.title_boost(F.col("score"), F.col("title"), _TITLE_Q), 6).alias("score")), 50)
 
 
@@ -190,10 +204,10 @@ SELECT doc_id, round(score + 2.0 / 60 * coalesce(sqrt(coalesce(g.n, 0)) / sqrt((
 ORDER BY 2 DESC, 1 LIMIT 50""",
 )
 def graph_boost(spark, sf_dir):
-    names = TT.artifacts(spark, sf_dir, text=False).filter("corpus = 'en'").select("doc_id", "path")
+    names = _index(spark, sf_dir).documents.filter("corpus = 'en'").select("doc_id", "path")
     degrees = graph_in_degree(spark, sf_dir).filter("corpus = 'en'")
     most = degrees.agg(F.max("in_degree").alias("most"))
-    rows = _fused(spark, sf_dir).join(names, "doc_id").join(degrees.select(F.col("dst_path").alias("path"), "in_degree"), "path", "left").join(F.broadcast(most))
+    rows = F.broadcast(_fused(spark, sf_dir)).join(names, "doc_id").join(degrees.select(F.col("dst_path").alias("path"), "in_degree"), "path", "left").join(F.broadcast(most))
     return R.top(rows.select("doc_id", F.round(R.graph_boost(F.col("score"), F.col("in_degree"), F.col("most"), 2.0), 6).alias("score")), 50)
 
 
@@ -207,9 +221,9 @@ s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r FROM s) WHERE r < 10""",
 )
 def batch_bm25(spark, sf_dir):
-    t = _tokened(spark, sf_dir)
+    index = _index(spark, sf_dir)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    return R.bm25_batch(I.postings(t), I.document_lengths(t), asked, limit=10)
+    return R.bm25_batch(index.postings, index.stats, asked, limit=10, terms=index.terms)
 
 
 # -- facets, filters
@@ -263,7 +277,7 @@ _CUT = TT.EPOCH_NS + 300 * TT.HOUR_NS
 )
 def since_filter(spark, sf_dir):
     names = TT.artifacts(spark, sf_dir, text=False).filter(F.col("mtime_ns") >= _CUT).select("doc_id")
-    return R.top(_bm25(_tokened(spark, sf_dir), TERMS), 50).join(names, "doc_id", "left_semi")
+    return R.top(_bm25(_index(spark, sf_dir), TERMS), 50).join(names, "doc_id", "left_semi")
 
 
 # -- store
@@ -524,8 +538,8 @@ def latency_percentile(spark, sf_dir):
 
 
 def _search(spark, sf_dir, **kw) -> DataFrame:
-    docs = TT.artifacts(spark, sf_dir)
-    index = I.Index.build(docs.select("doc_id", "corpus", "path", "title", "kind", "text"))
+    docs = TT.artifacts(spark, sf_dir, text=False).withColumn("text", F.lit(""))
+    index = _index(spark, sf_dir)
     names = docs.drop("text").withColumns({"id": F.col("doc_id").cast("string"), "summary": F.lit("")})
     edges = S.resolve_links(TT.links(spark, sf_dir), docs.drop("text"))[0]
     request = SearchRequest(vector=tuple(TT.vector_of(spark, sf_dir, VEC)), **kw)

@@ -95,8 +95,7 @@ def search(request: SearchRequest, index: Index, artifacts: DataFrame, vectors:
     wanted = max(request.limit + request.offset, request.candidates or R.DEPTH)
     depth = min(R.MAX_HITS, wanted)
     if terms:
-        hits = index.postings.filter(F.col("term").isin(*terms)).join(index.documents.select("doc_id", F.col("token_count").alias("dl")), "doc_id")
-        keyword = R.bm25(hits, index.documents, request.k1, request.b)
+        keyword = R.bm25(index.postings.filter(F.col("term").isin(*terms)), index.stats, request.k1, request.b)
         if limited and not request.compat:
             keyword = keyword.join(ids(lanes_from), "doc_id", "left_semi")
         keyword = R.top(keyword, depth)
@@ -108,7 +107,7 @@ def search(request: SearchRequest, index: Index, artifacts: DataFrame, vectors:
     can_vector = wants_vector and vectors is not None and bool(request.vector) and (bool(terms) or limited)
     empty = keyword.limit(0)
     if can_vector:
-        pool = vectors.join(ids(keyword), "doc_id", "left_semi") if mode == "hybrid" else vectors
+        pool = vectors.join(F.broadcast(ids(keyword)), "doc_id", "left_semi") if mode == "hybrid" else vectors
         if mode == "semantic" and limited:
             pool = pool.join(ids(docs if request.compat else admitted), "doc_id", "left_semi")
         vector = R.cosine_lane(pool, list(request.vector), depth)
@@ -117,7 +116,8 @@ def search(request: SearchRequest, index: Index, artifacts: DataFrame, vectors:
     if request.compat and limited:
         keyword = keyword.join(ids(docs), "doc_id", "left_semi")
     fused = R.fuse(empty if mode == "semantic" else keyword, vector, request.rrf_k)
-    fused = fused.join(index.documents.select("doc_id", "corpus", "path", "title"), "doc_id")
+    # both lanes together have 2 * MAX_HITS rows at most, so documents stay where they lie
+    fused = F.broadcast(fused).join(index.documents.select("doc_id", "corpus", "path", "title"), "doc_id")
     score = R.title_boost(F.col("score"), F.col("title"), parsed.text)
     graph = request.graph_weight > 0 and request.corpus is not None and edges is not None
     if graph:
@@ -134,7 +134,7 @@ def search(request: SearchRequest, index: Index, artifacts: DataFrame, vectors:
     first = min(request.limit + request.offset, R.MAX_HITS)
     if request.since_before_limit and cutoff is not None:
         fused = fused.join(keep.filter(F.col("mtime_ns") >= cutoff).select("corpus", "path"), ["corpus", "path"], "left_semi")
-    rows = R.top(fused, first).join(keep, ["corpus", "path"])
+    rows = F.broadcast(R.top(fused, first)).join(keep, ["corpus", "path"])
     if cutoff is not None:
         rows = rows.filter(F.col("mtime_ns") >= cutoff)
     rows = rows.orderBy(F.desc("score"), "doc_id").offset(request.offset).limit(request.limit)
