@@ -6,12 +6,16 @@ Every function takes DataFrames and returns the new state of a table; nothing is
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 KEY = ["corpus", "path"]
 MAX_PAGE = 1000
+BY_TERM = ("postings", "terms")  # tables that queries look up by term
 
 
 class StoreError(ValueError):
@@ -187,16 +191,36 @@ def forget(edges: DataFrame, pending: DataFrame, metas: DataFrame, gone: DataFra
 # -- generations
 
 
-def publish(tables: dict[str, DataFrame], root: str, generation: int) -> str:
-    """Write all tables under a new folder, then the pointer that names it."""
+def publish(tables: dict[str, DataFrame], root: str) -> str:
+    """Write all tables under a new folder of their own, then the pointer that names it.
+
+    Two writers at once never share a folder; the later pointer, or of two with one number the greater
+    folder name, is the state.
+    """
     spark = next(iter(tables.values())).sparkSession
-    folder = f"{root}/gen={generation}"
+    latest = _pointer(spark, root)
+    generation = latest[0] + 1 if latest else 1
+    folder = f"gen={generation}-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark.createDataFrame([(generation,)], "generation long").coalesce(1).write.mode("append").parquet(f"{root}/published")
-    return folder
+        if name in BY_TERM:
+            df = df.repartitionByRange("term").sortWithinPartitions("term")
+        df.write.parquet(f"{root}/{folder}/{name}")
+    spark.createDataFrame([(generation, folder)], "generation long, folder string").coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return f"{root}/{folder}"
+
+
+def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    try:
+        found = spark.read.parquet(f"{root}/published").agg(F.max(F.struct("generation", "folder")).alias("m")).first()["m"]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return tuple(found) if found else None
 
 
 def open_latest(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
-    n = spark.read.parquet(f"{root}/published").agg(F.max("generation")).first()[0]
-    return {name: spark.read.parquet(f"{root}/gen={n}/{name}") for name in names}
+    latest = _pointer(spark, root)
+    if latest is None:
+        raise StoreError("notfound", f"nothing is published under {root}")
+    return {name: spark.read.parquet(f"{root}/{latest[1]}/{name}") for name in names}

@@ -96,8 +96,8 @@ class Scratch:
     ``clear`` removes all but those that are named; a job calls it once its result is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path, self.number = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", itertools.count()
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.path, self.number = spark, f"{root or shared_dir(spark)}/{name}-{uuid.uuid4().hex}", itertools.count()
         self.written: dict[int, str] = {}
         self.held: list[DataFrame] = []
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,12 @@ class EmbedderError(RuntimeError):
     pass
 
 
+def load_embedder(factory: str) -> Embedder:
+    """Call ``module:function``."""
+    module, _, name = factory.partition(":")
+    return getattr(importlib.import_module(module), name)()
+
+
 def check_reply(texts: list[str], vectors: list[list[float]], dim: int) -> list[list[float]]:
     """One vector for each text, all of the dimension and finite; anything else ends the lane."""
     if len(vectors) != len(texts) or any(len(v) != dim or not all(map(math.isfinite, v)) for v in vectors):

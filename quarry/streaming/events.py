@@ -6,7 +6,7 @@ next event after it opens another. That is neither a tumbling nor a session wind
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -97,3 +97,27 @@ def apply_stream(events: DataFrame, apply, checkpoint: str):
         last.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+class EventBus:
+    """Hands each event to up to ``MOST`` subscribers, in the order in which they came, one after another."""
+
+    MOST = 64
+
+    def __init__(self) -> None:
+        self._subscribers: dict[int, Callable[[dict], None]] = {}
+        self._next = 0
+
+    def subscribe(self, receive: Callable[[dict], None]) -> int:
+        if len(self._subscribers) >= self.MOST:
+            raise ValueError(f"more than {self.MOST} subscribers")
+        self._next += 1
+        self._subscribers[self._next] = receive
+        return self._next
+
+    def unsubscribe(self, number: int) -> None:
+        self._subscribers.pop(number, None)
+
+    def publish(self, event: dict) -> None:
+        for receive in list(self._subscribers.values()):
+            receive(event)
