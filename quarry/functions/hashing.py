@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-# Offset basis and prime of FNV-1a.
-_FNV32, _FNV64 = (0x811C9DC5, 0x01000193), (0xCBF29CE484222325, 0x100000001B3)
+# Offset basis and prime of FNV-1a, by bits.
+FNV = {32: (0x811C9DC5, 0x01000193), 64: (0xCBF29CE484222325, 0x100000001B3)}
 
 
 def _fnv(data: bytes, basis: int, prime: int, mask: int) -> int:
@@ -22,11 +22,11 @@ def _fnv(data: bytes, basis: int, prime: int, mask: int) -> int:
 
 
 def fnv1a32(data: bytes) -> int:
-    return _fnv(data, *_FNV32, 0xFFFFFFFF)
+    return _fnv(data, *FNV[32], 0xFFFFFFFF)
 
 
 def fnv1a64(data: bytes) -> int:
-    return _fnv(data, *_FNV64, 0xFFFFFFFFFFFFFFFF)
+    return _fnv(data, *FNV[64], 0xFFFFFFFFFFFFFFFF)
 
 
 def make_artifact_id(corpus: str, path: str) -> str:

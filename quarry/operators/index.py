@@ -11,13 +11,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokens
+from quarry.functions.text import TOKENS_PER_DOC, tokens
 
 PREFIX_TERMS = 64
 
 
-def with_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("tokens", tokens(F.col(text)))
+def with_tokens(docs: DataFrame, text: str = "text", most: int | None = None) -> DataFrame:
+    """``docs`` with ``tokens``; a document of more than ``most`` is an error that names it."""
+    tokened = docs.withColumn("tokens", tokens(F.col(text)))
+    if most is None:
+        return tokened
+    said = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(f" has more than {most} tokens"))
+    return tokened.withColumn("tokens", F.when(F.size("tokens") > most, F.raise_error(said)).otherwise(F.col("tokens")))
 
 
 def postings(tokened: DataFrame) -> DataFrame:
@@ -70,8 +75,8 @@ class Index:
     stats: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, text: str = "text") -> Index:
-        tokened = with_tokens(docs, text)
+    def build(cls, docs: DataFrame, text: str = "text", most: int = TOKENS_PER_DOC) -> Index:
+        tokened = with_tokens(docs, text, most)
         post = postings_with_length(tokened)
         lengths = tokened.withColumn("token_count", F.size("tokens")).drop("tokens", text)
         return cls(post, lengths, document_frequency(post), corpus_stats(lengths))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.codecs import utf8_length
-from quarry.functions.hashing import artifact_id, content_hash
+from quarry.functions.hashing import FNV, artifact_id, content_hash
 from quarry.functions.links import normalize
 from quarry.operators import facets as FA
 from quarry.operators import index as I
@@ -443,9 +443,12 @@ def slugify(spark, sf_dir):
     return TT.artifacts(spark, sf_dir).select("doc_id", T.slugify(F.col("title")).alias("slug"))
 
 
-@query("title_from_path", f"SELECT doc_id, CAST(doc_id AS VARCHAR) || ' ' || 'x y' AS title FROM ({ARTIFACTS})")
+_ODD_PATH = "CASE doc_id % 4 WHEN 0 THEN source || '/' || doc_id || '-x_y.html' WHEN 1 THEN source || '/v1.2/' || doc_id || '.a-b.md' WHEN 2 THEN doc_id || '_none' ELSE source || '-d/.hidden' || doc_id END"
+
+
+@query("title_from_path", f"SELECT doc_id, translate(regexp_replace(regexp_extract(p, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1'), '-_', '  ') AS title FROM (SELECT doc_id, {_ODD_PATH} AS p FROM ({ARTIFACTS.replace('lang AS corpus', 'source, lang AS corpus')}))")
 def title_from_path(spark, sf_dir):
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("-x_y.html"))
+    path = F.expr(_ODD_PATH)
     return table(spark, sf_dir, "documents").select("doc_id", T.title_from_path(path).alias("title"))
 
 
@@ -489,7 +492,14 @@ def parse_pages(spark, sf_dir):
     return p.select("page_id", "title", F.size("blocks").alias("n_blocks"), "heading_count", F.size("links").alias("n_links"), F.size("metas").alias("n_metas"), "summary")
 
 
-@query("artifact_identity")
+def _fnv_sql(text: str, bits: int) -> str:
+    """FNV-1a over a text's bytes; 128-bit integers hold every product."""
+    basis, prime = FNV[bits]
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::HUGEINT)"
+    return f"list_reduce(list_prepend({basis}::HUGEINT, {octets}), lambda h, b: (xor(h, b) * {prime}) % {1 << bits}::HUGEINT)"
+
+
+@query("artifact_identity", f"SELECT doc_id, printf('%012x', CAST({_fnv_sql("corpus || chr(31) || path", 64)} // 65536 AS BIGINT)) AS id, CAST({_fnv_sql('text', 32)} AS BIGINT) AS content_hash FROM ({ARTIFACTS})")
 def artifact_identity(spark, sf_dir):
     a = TT.artifacts(spark, sf_dir)
     return a.select("doc_id", artifact_id("corpus", "path").alias("id"), content_hash("text").alias("content_hash"))

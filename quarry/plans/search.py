@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import tokenize
+from quarry.functions.text import TOKENS_PER_DOC, tokenize
 from quarry.operators import rank as R
 from quarry.operators.facets import facet_predicate
 from quarry.operators.index import Index, expand_prefix
@@ -55,7 +55,10 @@ class SearchPlan:
 
 
 def query_terms(index: Index, text: str) -> list[str]:
-    terms = list(dict.fromkeys(tokenize(text)))
+    found = tokenize(text)
+    if len(found) > TOKENS_PER_DOC:
+        raise QueryError("invalid", f"the query has more than {TOKENS_PER_DOC} tokens")
+    terms = list(dict.fromkeys(found))
     last = text.rstrip().rsplit(None, 1)[-1:] if text.strip() else []
     if last and last[0].endswith("*"):
         own = tokenize(last[0])
