@@ -335,9 +335,15 @@ def summary_of(blocks: list[dict]) -> str:
     return first.encode()[:SUMMARY_BYTES].decode("utf-8", "ignore").strip()
 
 
+def limits_reached(f: Parsed) -> list[str]:
+    """Names of the limits that a document has reached; what lies beyond them is left out."""
+    values = any(len(m["value"].encode()) >= MAX_META_VALUE for m in f.metas)
+    return [name for name, hit in (("links", len(f.links) >= MAX_LINKS), ("metas", len(f.metas) >= MAX_METAS), ("values", values)) if hit]
+
+
 _SCHEMA = (
     "title string, blocks array<struct<id:string,text:string,heading_level:int,offset:long>>, links array<struct<target:string,text:string>>, "
-    "metas array<struct<key:string,value:string>>, anchors array<string>, summary string"
+    "metas array<struct<key:string,value:string>>, anchors array<string>, summary string, at_limit array<string>"
 )
 
 
@@ -356,6 +362,7 @@ def parsed(text: str = "source", path: str = "path") -> Column:
                     "metas": [f.metas for f in found],
                     "anchors": [f.anchors for f in found],
                     "summary": [summary_of(f.blocks) for f in found],
+                    "at_limit": [limits_reached(f) for f in found],
                 }
             )
 

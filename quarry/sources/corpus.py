@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ from quarry.operators.index import Index, corpus_stats, document_frequency
 from quarry.session import Scratch
 from quarry.sources.embed import Embedder, embed_table
 
+log = logging.getLogger(__name__)
+
 # File endings, sizes and kinds.
 EXTENSIONS = ("md", "markdown", "html", "htm")
 MAX_BYTES, MAX_DEPTH = 16 << 20, 64
@@ -55,6 +58,9 @@ def ingest(manifest: DataFrame, work: Scratch, kind: str = "artifact") -> dict[s
     """Parse each document once, into a table; artifacts, chunks, links and metas are read from that."""
     docs = P.parse_table(manifest.filter("source is not null")).withColumn("id", artifact_id("corpus", "path"))
     docs = work.put(docs.withColumns({"content_hash": content_hash("source"), "text": P.searchable_text(F.col("title"), F.col("blocks"))}))
+    cut = docs.filter(F.size("at_limit") > 0).count()
+    if cut:
+        log.warning("%d documents have more links or metas than are kept (%d, %d), or longer values (%d)", cut, P.MAX_LINKS, P.MAX_METAS, P.MAX_META_VALUE)
     artifacts = docs.select("id", *S.KEY, "title", F.lit(KINDS[kind]).alias("kind"), "mtime_ns", "size_bytes", "content_hash", "heading_count", "summary", "source", "text")
     return {"artifacts": numbered(artifacts), "chunks": P.chunks(docs), "links": P.links(docs), "metas": P.metas(docs)}
 
