@@ -8,8 +8,8 @@ their windows are compared word for word and hits are extended over all words of
 
 Defined cases: a null text has no words; an item of fewer than ``window`` words is one window of
 all its words, and one without words matches nothing; an item whose text occurs twice counts under
-each item_id; repeated rows are returned as often as they come; a null doc_id is an id like any
-other; other columns of the inputs are ignored, whatever their names.
+each item_id; very long texts are read whole; repeated rows are returned as often as they come; a null
+doc_id is an id like any other; an empty table gives no rows; other columns of the inputs are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ NAME = "op10_decontaminate"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAKS = "".join(chr(c) for c in (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
-#: A benchmark side is broadcast up to this many rows of at most ``window`` words each.
-BROADCAST_ROWS = 200_000
+#: Bytes, as rows, up to which fingerprints or windows of the benchmark are broadcast; else the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: Column) -> Column:
@@ -108,13 +108,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
         [_windows(items.filter(F.col("_n") == n).select("item_id", "_words"), [n]) for n in [*short, window]],
     )
     runs = cut(runs.groupBy("n", "run").agg(F.collect_set("item_id").alias("ids")))
-    near = (lambda x: F.broadcast(x)) if runs.count() <= BROADCAST_ROWS else (lambda x: x)
+    load = runs.agg(F.sum(F.octet_length("run") + 8 * F.size("ids") + 64)).first()[0] or 0
+    near_runs = F.broadcast(runs) if load <= BROADCAST_BYTES else runs
+    near_fps = F.broadcast(fps) if 40 * fps.count() <= BROADCAST_BYTES else fps
 
     base = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")).withColumn("_words", words(F.col("text")))
     seen = _with_fingerprints(base, window, k, short).select(
         "doc_id", "th", F.size("_words").cast("long").alias("n_words"), F.posexplode_outer("fps").alias("pos", "fp")
     )
-    seen = seen.join(near(fps), "fp", "left").groupBy("doc_id", "th").agg(
+    seen = seen.join(near_fps, "fp", "left").groupBy("doc_id", "th").agg(
         F.max("n_words").alias("n_words"), F.sum((F.coalesce("pos", F.lit(0)) == 0).cast("int")).alias("copies"), F.max("hit").alias("hit")
     )
     seen = cut(seen)
@@ -124,7 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: in
     suspects = seen.filter("hit").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
     texts = again.join(suspects, same, "left_semi").dropDuplicates(["doc_id", "th"])
     found = _windows(texts.select("doc_id", "th", words(F.col("text")).alias("_words")), [*short, window])
-    found = found.join(near(runs), ["n", "run"]).groupBy("doc_id", "th").agg(
+    found = found.join(near_runs, ["n", "run"]).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"),
         F.max("n").alias("longest"),
