@@ -40,6 +40,8 @@ SQL = None
 
 PARTS = 8
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 8_192
+#: Rows that are worth a task of their own.
+LEAST_ROWS = 4_096
 #: Components of the vectors in a block at most: fewer rows where vectors are long.
 BLOCK_VALUES = 1 << 22
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -174,7 +176,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, sample: int = 20_000,
     codes = Codes.learn(learned, top, k)
 
     most = max(1, BLOCK_VALUES // learned.shape[1])
-    blocks, lots = -(-n // min(BLOCK_ROWS, most)), -(-m // min(BLOCK_QUERIES, most))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks, lots = max(-(-n // min(BLOCK_ROWS, most)), min(tasks, -(-n // LEAST_ROWS))), -(-m // min(BLOCK_QUERIES, most))
     spread = lambda df, own, parts, other, times: df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     indexed = spread(rows, "b", blocks, "q", lots).withColumn("q", F.col("q").cast("long"))
     found, radius, left = None, min_radius or codes.radius, asked
