@@ -26,8 +26,12 @@ def idf(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def saturation(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Column:
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column, k1: float, b: float) -> Column:
-    return idf(df, n) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    return idf(df, n) * saturation(tf, dl, avgdl, k1, b)
 
 
 def bm25(hits: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -43,18 +47,19 @@ def bm25_batch(post: DataFrame, stats: DataFrame, queries: DataFrame, k1: float
     """query_id, doc_id, score, rank for many queries in one job.
 
     post: term, doc_id, tf, dl; stats: one row; queries: query_id, term (distinct); terms: term, df of all
-    terms, where they are stored. Postings meet the queries once, after their own weights are known.
+    terms, where they are stored. Postings of the terms are dealt out by document before each meets the
+    queries that ask for it, so what a document gets from a query is added up where it is made.
     """
     check_parameters(k1, b)
     small = queries.count() <= BROADCAST_TERMS
     near = F.broadcast if small else (lambda df: df)
-    wanted = queries.select("term").distinct()
-    if terms is None:
-        terms = post.join(near(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.join(terms.select("term", "df"), "term")
-    rows = post.join(near(asked), "term").join(F.broadcast(stats.select("n_docs", "avgdl")))
-    w = weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"), k1, b)
-    scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
+    some = post.join(near(queries.select("term").distinct()), "term", "left_semi")
+    stats = F.broadcast(stats.select("n_docs", "avgdl"))
+    frequency = some.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms.select("term", "df")
+    asked = queries.join(frequency, "term").join(stats).select("query_id", "term", idf(F.col("df"), F.col("n_docs")).alias("idf"))
+    part = saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+    by_doc = some.join(stats).select("term", "doc_id", part.alias("part")).repartition("doc_id")
+    scored = by_doc.join(near(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit)
 
