@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.llm.rolling import FOLD, mix, tables
+from quarry.llm.rolling import BASE, FOLD, mix, tables
 from quarry.llm.simhash import GrayTree
 from quarry.session import Scratch, small_batches
 
@@ -41,7 +41,6 @@ SHELF_ROWS, SHELF_SHINGLES = 2_000, 1 << 22
 LEADERS, DEEPEST = 2, 8
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _permutations: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -58,7 +57,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     n = max(1, len(word) - words + 1)
     h = np.zeros(n, np.uint64)
     for i in range(min(words, len(word))):
-        h = h * _BASE + word[i : i + n]
+        h = h * np.uint64(BASE) + word[i : i + n]
     return np.unique(mix(h))
 
 

@@ -25,52 +25,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.rolling import BASE, FOLD, mix, tables
 from quarry.session import cut, small_batches, table
 
 NAME = "op1_resample"
 SQL = None
 
 BUCKETS = 1 << 14
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BLANK = frozenset(b" \t\n\r\x0b\x0c")
 _KIND = np.array([0 if c in _BLANK else 1 if c >= 128 or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse, as far as any text so far needs."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 17)
-        for i, b in enumerate((_BASE, _BACK)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
 
 
 def buckets(text: str | None) -> np.ndarray:
     """The bucket of each token and of each pair of neighbouring tokens of a whole text."""
     if not text:
         return np.empty(0, np.int64)
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(FOLD), np.uint8)
     kind = _KIND[b]
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     starts = np.concatenate(([0], edge))
     stops = np.concatenate((edge, [len(b)]))
     real = kind[starts] > 0
     starts, stops = starts[real], stops[real]
-    power, back = _tables(len(b) + 1)
+    power, back = tables(len(b) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
-    one = _mix((sums[stops] - sums[starts]) * back[starts])
-    two = _mix(one[:-1] * _BASE + one[1:])
+    one = mix((sums[stops] - sums[starts]) * back[starts])
+    two = mix(one[:-1] * np.uint64(BASE) + one[1:])
     return (np.concatenate((one, two)) >> np.uint64(50)).astype(np.int64)
 
 

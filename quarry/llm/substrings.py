@@ -39,6 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.rolling import mix, tables
 from quarry.session import Scratch, small_batches, table
 
 NAME = "op9_repeated_substrings"
@@ -50,33 +51,13 @@ HOT = 200_000
 #: Suffixes for one task to merge.
 TASK_SUFFIXES = 40_000
 _FLUSH = 48 << 20  # bytes of contexts that a task holds before it writes runs
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2^64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(n, 1 << 17), b, np.uint64)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
-        _powers[base] = tuple(pair)
-    return _powers[base]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
 
 
 def rolling(b: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes at each place."""
-    power, back = _tables(_BASE, len(b) + 1)
+    power, back = tables(len(b) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)])))
-    return _mix((sums[size:] - sums[:-size]) * back[: len(b) - size + 1])
+    return mix((sums[size:] - sums[:-size]) * back[: len(b) - size + 1])
 
 
 def _sliding(x: np.ndarray, width: int, best: np.ufunc, none: int) -> np.ndarray:

@@ -241,7 +241,11 @@ def write_token_files(
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"), *(k.alias(n) for n, k in named.items()))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(tasks, *named).sortWithinPartitions(*named).select("id", "known", "text")
-    return cut(rows.mapInPandas(write, "shard long, path string, docs long, tokens long")), dictionary
+    files = cut(rows.mapInPandas(write, "shard long, path string, docs long, tokens long"))
+    for f in fs.get_file_info(pafs.FileSelector(at)):
+        if f.path.endswith(".tmp"):  # of attempts that were lost
+            fs.delete_file(f.path)
+    return files, dictionary
 
 
 def read_token_files(files: DataFrame, dictionary: bytes) -> DataFrame:
