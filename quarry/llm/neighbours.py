@@ -162,7 +162,8 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, sample: int = 20_000,
     """
     spark = vectors.sparkSession
     work = Scratch(spark, "neighbours-found")
-    rows = Scratch(spark, "neighbours").put(usable(vectors))
+    base = Scratch(spark, "neighbours")
+    rows = base.put(usable(vectors))
     asked = rows.filter(asks)
     n, m = rows.count(), asked.count()
     names = "query_id long, rank int, vec_id long, score double"
@@ -195,6 +196,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, sample: int = 20_000,
         done = got.join(full, "query_id", "left_semi").select(got.columns) if more else got
         found = done if found is None else found.union(done)
         if not more:
+            base.clear()
             return found
         left, radius = short, min(64, radius + 8)
 

@@ -222,6 +222,7 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFram
     rooted = work.put(codes.join(parts, codes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = work.put(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = work.put(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"))
+    work.clear(coded, named)
     return coded.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -208,6 +208,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], block_list: DataFrame |
         flags = _members(cascade)(F.transform("here", lambda k: F.xxhash64(k, F.lit(1))), F.transform("here", lambda k: F.xxhash64(k, F.lit(2))))
         rows = rows.withColumn("found", flags).withColumn("listed", F.concat("listed", F.filter("here", lambda k, i: F.get(F.col("found"), i))))
         rows = rows.drop("found", "here") if parts == 1 else work.put(rows.drop("found", "here"))
+    work.clear(*([rows] if parts > 1 else []))
     if rules:
         known = F.create_map(*(F.lit(x) for pair in rules.items() for x in pair))
         fits = F.filter("listed", lambda k: F.map_contains_key(known, k))
