@@ -39,6 +39,7 @@ WORDS, BANDS, MINIMA, RADIUS = 5, 24, 5, 24
 #: Members, and shingles of all members, of a shelf that one task searches.
 SHELF_ROWS, SHELF_SHINGLES = 2_000, 1 << 22
 LEADERS, DEEPEST = 2, 8
+PAIRS = 1 << 18  # that a search of a shelf holds at once
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _permutations: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -123,7 +124,7 @@ def _across(bucket: pd.DataFrame) -> pd.DataFrame:
     sets = [np.frombuffer(x, np.uint64) for x in bucket["set"]]
     tree = GrayTree(np.zeros(len(fp), np.int64), fp)
     a, b = [], []
-    for q, place in tree.search(np.zeros(len(fp), np.int64), fp, RADIUS):
+    for q, place in tree.search(np.zeros(len(fp), np.int64), fp, RADIUS, PAIRS):
         other = tree.order[place]
         new = (q < other) & (label[q] != label[other])
         q, other = q[new], other[new]
