@@ -78,8 +78,8 @@ class Embedding:
     dim: int
 
 
-def _indexed(artifacts: DataFrame) -> Index:
-    return Index.build(artifacts.select("doc_id", *S.KEY, "title", "kind", "text"))
+def _indexed(artifacts: DataFrame, work: Scratch) -> Index:
+    return Index.build(artifacts.select("doc_id", *S.KEY, "title", "kind", "text")).staged(work)
 
 
 def _vectors(artifacts: DataFrame, embedding: Embedding | None) -> DataFrame:
@@ -99,7 +99,7 @@ def reindex(spark: SparkSession, folders: dict[str, str], store: str, ignore: li
     work = Scratch(spark, "ingest", f"{store}/staging")
     made = ingest(_walk_all(spark, {c: root for c, root in folders.items() if only is None or c in only}, ignore), work)
     edges, pending = S.resolve_links(made["links"], made["artifacts"])
-    index = _indexed(made["artifacts"])
+    index = _indexed(made["artifacts"], work)
     postings = work.put(index.postings)
     tables = {"artifacts": made["artifacts"].drop("text"), "chunks": made["chunks"], "metas": made["metas"], "edges": edges, "pending_links": pending, "postings": postings, "documents": index.documents, "terms": document_frequency(postings), "stats": index.stats, "vectors": _vectors(made["artifacts"], embedding)}
     S.publish(tables, store)
@@ -161,7 +161,7 @@ def apply_changes(state: dict[str, DataFrame], changed: DataFrame, removed: Data
     edges, pending = (df.join(touched.withColumnRenamed("path", "src_path"), ["corpus", "src_path"], "left_anti") for df in (edges, pending))
     now, later = S.resolve_links(made["links"], artifacts)
     edges, pending = S.drain_pending(edges.unionByName(now), pending.unionByName(later), changed, artifacts)
-    index, gone = _indexed(fresh), old_ids.select("doc_id")
+    index, gone = _indexed(fresh, work), old_ids.select("doc_id")
     without = lambda name: state[name].join(gone, "doc_id", "left_anti")
     postings = work.put(without("postings").unionByName(index.postings))
     documents = work.put(without("documents").unionByName(index.documents))
